@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomcrawl.llm import leakage, site_lines
+from loomcrawl.llm import leakage, packing, seen_keys, site_lines, splitting
+from loomcrawl.plans.duck import url_table
 from loomcrawl.sources.tables import table
 
 
@@ -16,6 +17,28 @@ def p1_clean_pages(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.clean_pages(table(spark, d, "parsed_documents"), table(spark, d, "cdxj_entries"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return seen_keys.seen_entries(table(spark, d, "forwarding_batches"), table(spark, d, "extracted_links"))
+
+
+def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
+    batches, links = table(spark, d, "forwarding_batches"), table(spark, d, "extracted_links")
+    rates = [seen_keys.error_rate(batches, links, bits) for bits in (8, 16, 32)]
+    return rates[0].unionByName(rates[1]).unionByName(rates[2])
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.document_sizes(table(spark, d, "documents")))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_pack(spark, d))
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_documents(table(spark, d, "documents"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -27,8 +50,13 @@ def p9_leak_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_clean_pages": p1_clean_pages,
+    "p2_found": p2_found,
+    "p2_error_rate": p2_error_rate,
+    "p8_pack": p8_pack,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_leak_report": p9_leak_report,
+    "p10_pieces": p10_pieces,
 }
 
 _SITE = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
@@ -44,7 +72,14 @@ def _grams(table: str, key: str) -> str:
 
 _P9 = f"SELECT DISTINCT d.doc_id, i.item_id FROM {_grams('documents', 'doc_id')} d JOIN {_grams('eval_items', 'item_id')} i USING (gram)"
 
+_ENTRIES = "(SELECT delivery_id, unnest(range(len(urls))) AS entry_no, unnest(urls).url AS raw FROM forwarding_batches WHERE urls IS NOT NULL)"
+_P2 = f"""WITH e AS (SELECT delivery_id, entry_no, value AS key FROM {url_table(_ENTRIES, 'raw', 'delivery_id, entry_no')} WHERE value IS NOT NULL),
+h AS (SELECT DISTINCT value AS key FROM {url_table('extracted_links', 'target_url')} WHERE value IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY delivery_id, entry_no) AS k FROM e)
+SELECT delivery_id, entry_no FROM r WHERE k > 1 OR key IN (SELECT key FROM h)"""
+
 SQL = {
+    "p2_found": _P2,
     "p1_found": f"WITH {_P1}, f AS (SELECT site, form FROM l WHERE form <> '' GROUP BY site, form HAVING count(DISTINCT page_id) >= 6) SELECT page_id, line_no FROM l JOIN f USING (site, form)",
     "p9_found": _P9,
     "p9_leak_report": f"SELECT item_id, count(*) AS n_docs FROM ({_P9}) GROUP BY item_id",
