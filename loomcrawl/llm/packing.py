@@ -28,50 +28,51 @@ ROUNDS = 240
 ETA = 0.35
 
 
-def best_pattern(price: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack over sizes 1..capacity with repetition: the dearest filling, as {size: copies}."""
-    sizes = np.flatnonzero(price > 0)
-    value, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    worth = price[sizes]
-    ends = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for room in range(1, capacity + 1):
-        k = ends[room]
-        value[room], choice[room] = value[room - 1], 0
-        if k:
-            total = value[room - sizes[:k]] + worth[:k]
-            best = int(total.argmax())
-            if total[best] > value[room]:
-                value[room], choice[room] = total[best], sizes[best]
+def best_pattern(price: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
+    """Bounded knapsack over sizes 1..capacity: the dearest filling with at most ``most[size]`` copies.
+
+    Copies of a size enter as bundles of 1, 2, 4, ... so each is one vectorised step over
+    all rooms; ``taken`` remembers the choices for the walk back.
+    """
+    bundles = []
+    for size in np.flatnonzero(price > 0):
+        left, k = min(int(most[size]), capacity // int(size)), 1
+        while left > 0:
+            bundles.append((int(size), min(k, left)))
+            left, k = left - k, 2 * k
+    value = np.zeros(capacity + 1)
+    taken = np.zeros((len(bundles), capacity + 1), bool)
+    for i, (size, k) in enumerate(bundles):
+        total = value[: capacity + 1 - size * k] + k * price[size]
+        better = total > value[size * k :]
+        taken[i, size * k :] = better
+        value[size * k :][better] = total[better]
     pattern, room = Counter(), capacity
-    while room > 0:
-        if choice[room]:
-            pattern[int(choice[room])] += 1
-            room -= int(choice[room])
-        else:
-            room -= 1
+    for i in range(len(bundles) - 1, -1, -1):
+        if taken[i, room]:
+            size, k = bundles[i]
+            pattern[size] += k
+            room -= size * k
     return dict(pattern)
 
 
 def solve_configuration_lp(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, eta: float = ETA) -> list[tuple[dict[int, int], float]]:
     """Fractional plan [(pattern, containers)] that covers ``counts[size]`` items of each size about evenly."""
+    sizes = np.arange(len(counts))
     wanted = counts > 0
     if not wanted.any():
         return []
-    weight = np.where(wanted, 1.0, 0.0)
-    need = np.maximum(counts, 1)
-    plan: dict[tuple, float] = defaultdict(float)
     covered = np.zeros(len(counts))
+    plan: dict[tuple, float] = defaultdict(float)
     for _ in range(rounds):
-        pattern = {s: int(min(n, counts[s])) for s, n in best_pattern(weight / need, capacity).items()}
+        weight = np.where(wanted, sizes * np.exp(-eta * (covered - covered[wanted].min())), 0.0)
+        pattern = best_pattern(weight, counts, capacity)
         step = min(counts[s] / n for s, n in pattern.items())
         plan[tuple(sorted(pattern.items()))] += step
         for s, n in pattern.items():
-            covered[s] += n * step / need[s]
-            weight[s] *= np.exp(-eta * n * step / need[s])
-        if weight.max() < 1e-300:
-            weight[wanted] = np.exp(-eta * (covered[wanted] - covered[wanted].min()))
+            covered[s] += n * step / counts[s]
     used = sum(x * sum(s * n for s, n in p) for p, x in plan.items())
-    scale = float((counts * np.arange(len(counts))).sum()) / used
+    scale = float((counts * sizes).sum()) / used
     return [(dict(p), x * scale) for p, x in plan.items()]
 
 
