@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomcrawl.llm import leakage, packing, seen_keys, site_lines, splitting
+from loomcrawl.llm import body, leakage, packing, seen_keys, site_lines, splitting
 from loomcrawl.plans.duck import url_table
 from loomcrawl.sources.tables import table
 
@@ -27,6 +27,14 @@ def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return rates[0].unionByName(rates[1]).unionByName(rates[2])
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return body.furniture_lines(table(spark, d, "parsed_documents"), table(spark, d, "fetch_results"))
+
+
+def p4_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return body.body_texts(table(spark, d, "parsed_documents"), table(spark, d, "fetch_results"))
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.document_sizes(table(spark, d, "documents")))
 
@@ -52,6 +60,8 @@ QUERIES = {
     "p1_clean_pages": p1_clean_pages,
     "p2_found": p2_found,
     "p2_error_rate": p2_error_rate,
+    "p4_found": p4_found,
+    "p4_bodies": p4_bodies,
     "p8_pack": p8_pack,
     "p8_fill": p8_fill,
     "p9_found": p9_found,

@@ -29,7 +29,10 @@ L2 = 2e-4
 SHARE = 0.03
 _NAME = re.compile(r"\b[A-ZÀ-Ý][\wà-ÿ]*(?:[- _][A-ZÀ-Ý0-9][\wà-ÿ]*)*")
 _HOST = re.compile(r"[\w.-]+\.(?:example|test)\b")
-_TEASER = re.compile(r"\b(?:notes on an?|year for|and the|inside the|how \w+ \w+)\b|^x$|^x [–-] x|^x: \w|, [a-zà-ÿ]+ [\wà-ÿ ]+$", re.I)
+_TEASER = re.compile(r"\b(?:notes on an?|an? \w+ year for|and the|inside the|how \w+ \w+ the)\b|^(?:0\. )?x(?: [–-] x)?$|^x: (?:der|die|das|el|la|le|l')\b|^(?:0\. )?x, [^.]*$", re.I)
+_PATH = re.compile(r"^x [›»>/|] |\(0 \w+\)$|^x_0\b|^[^.]* [›»→|] ")
+#: A name before a whole title, as notes inside a text are made; teasers never are.
+_NOTE = re.compile(r"^[A-ZÀ-Ý][\wà-ÿ]+ [A-ZÀ-Ý][\wà-ÿ]+ – .+(?: – |: |, ).+$")
 
 
 def pattern_of(text: str) -> str:
@@ -37,6 +40,12 @@ def pattern_of(text: str) -> str:
     return _NAME.sub("X", _HOST.sub("X", re.sub(r"\d+", "0", text))).lower()
 
 
+def cues_of(pattern: str) -> tuple[str, str]:
+    """The first two and the last two words of a masked line."""
+    words = body._WORD.findall(pattern)
+    return "^" + " ".join(words[:2]), " ".join(words[-2:]) + "$"
+
+
 def read_pages(folder: str) -> list[tuple]:
     pages = pq.read_table(f"{folder}/parsed_documents.parquet", columns=["page_id", "url", "main_text"]).to_pylist()
     fetches = pq.read_table(f"{folder}/fetch_results.parquet", columns=["final_url", "body", "content_type"]).to_pylist()
@@ -49,6 +58,7 @@ def label_pages(pages: list[tuple]) -> list[tuple[int, list[dom.Node], list[int]
     """(page_id, nodes, labels): 1 content, 0 furniture, -1 unknown."""
     trees = []
     named, bare = Counter(), Counter()
+    for_named, for_bare = Counter(), Counter()
     for page_id, text, raw, kind in pages:
         nodes = dom.read(dom.decode(raw, kind))
         where = set(body.align([body.squeeze(x) for x in text.split("\n")], nodes))
@@ -61,8 +71,14 @@ def label_pages(pages: list[tuple]) -> list[tuple[int, list[dom.Node], list[int]
                 inside = nodes[inside.parent]
             marks.append(marked)
             if n.text and i in where and n.tag not in ("h1", "h2", "h3"):
-                (named if marked else bare)[pattern_of(n.text)] += 1
+                p = pattern_of(n.text)
+                (named if marked else bare)[p] += 1
+                (for_named if marked else for_bare).update(cues_of(p))
         trees.append((page_id, nodes, where, marks))
+
+    def share(cue: str) -> float:
+        return for_named[cue] / max(1, for_named[cue] + for_bare[cue]) if for_named[cue] >= 8 else 0.0
+
     out = []
     for page_id, nodes, where, marks in trees:
         labels = []
@@ -74,10 +90,12 @@ def label_pages(pages: list[tuple]) -> list[tuple[int, list[dom.Node], list[int]
                     label = 1
                 elif marks[i]:
                     label = 0
-                elif n.tag == "li":
+                elif n.tag == "li" or _NOTE.search(n.text):
                     label = 1
                 elif named[p] >= 2 and named[p] >= SHARE * (named[p] + bare[p]) and (named[p] >= min(20, bare[p]) or not _TEASER.search(p)):
                     label = 0
+                elif (share(cues_of(p)[0]) > 0.2 and p[0] != "x") or share(cues_of(p)[1]) > 0.3 or _PATH.search(p):
+                    label = 0 if not _TEASER.match(p) else -1
                 elif named[p] == 0 and (body.shape(n.text) in "Ss" or len(p.split()) > 12 or not _TEASER.search(p)):
                     label = 1
             labels.append(label)
