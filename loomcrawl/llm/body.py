@@ -31,6 +31,7 @@ _SPACE = re.compile(r"\s+")
 #: Words that may be the only ones of a teaser or path; kinds of child for the potentials.
 KINDS = ("plain", "named", "inner")
 CACHE = 200_000
+LONG = 30
 
 
 def squeeze(text: str) -> str:
@@ -47,38 +48,45 @@ def shape(text: str) -> str:
 def text_features(text: str, known: frozenset | set) -> list[str]:
     """Features of a squeezed line. Words outside ``known`` are all alike, digits are one word.
 
-    All words of a line count; pairs of neighbouring words are added for lines of up to 25
-    words, which all menus, notices and teasers are.
+    All words of a line count; pairs of neighbouring words are added for lines of up to
+    ``LONG`` words, which all menus, notices and teasers are.
     """
     low = text.lower()
-    words = []
-    unknown = 0
-    for w in _WORD.findall(low):
-        if w[0].isdigit():
-            words.append("0")
-        elif w in known:
-            words.append(w)
-        else:
-            unknown += 1
-            if not words or words[-1] != "~":
-                words.append("~")
-    n = len(words)
-    found = {"w:" + w for w in words}
-    if n <= 25:
-        found.update(f"b:{a}_{b}" for a, b in zip(words, words[1:]))
-        found.update(f"t:{a}_{b}_{c}" for a, b, c in zip(words, words[1:], words[2:]) if n <= 10)
-        found.add("f:" + (words[0] if words else ""))
-        found.add("l:" + (words[-1] if words else ""))
+    tokens = _WORD.findall(low)
+    if len(tokens) > LONG:
+        kinds = set(tokens)
+        met = kinds & known
+        n = len(tokens)
+        unknown = n * (len(kinds) - len(met)) // len(kinds)
+        found = ["w:" + w for w in met]
+    else:
+        words = []
+        unknown = 0
+        for w in tokens:
+            if w[0].isdigit():
+                words.append("0")
+            elif w in known:
+                words.append(w)
+            else:
+                unknown += 1
+                if not words or words[-1] != "~":
+                    words.append("~")
+        n = len(words)
+        found = ["w:" + w for w in set(words)]
+        found += {f"b:{a}_{b}" for a, b in zip(words, words[1:])}
+        if n <= 10:
+            found += {f"t:{a}_{b}_{c}" for a, b, c in zip(words, words[1:], words[2:])}
+        found.append("f:" + (words[0] if words else ""))
+        found.append("l:" + (words[-1] if words else ""))
     size = len(low)
-    found.add(f"n:{min(n, 4) if n < 5 else 5 + min(5, n // 6)}")
-    found.add(f"z:{min(9, size // 20)}")
-    found.add(f"o:{min(4, 5 * unknown // max(1, n))}")
-    found.add(f"s:{min(4, len(_SENTENCE_END.findall(text)))}")
-    found.add("k:" + shape(text))
-    letters = [c for c in text[:60] if c.isalpha()]
-    if letters and all(c.isupper() for c in letters):
-        found.add("upper")
-    return sorted(found)
+    found.append(f"n:{min(n, 4) if n < 5 else 5 + min(5, n // 6)}")
+    found.append(f"z:{min(9, size // 20)}")
+    found.append(f"o:{min(4, 5 * unknown // max(1, n))}")
+    found.append(f"s:{min(4, len(_SENTENCE_END.findall(text)))}")
+    found.append("k:" + shape(text))
+    if text.isupper():
+        found.append("upper")
+    return found
 
 
 class Weights:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomcrawl.llm import body, leakage, packing, seen_keys, site_lines, splitting
+from loomcrawl.llm import body, leakage, packing, residue, seen_keys, site_lines, splitting, stuffing
 from loomcrawl.plans.duck import url_table
 from loomcrawl.sources.tables import table
 
@@ -35,6 +35,18 @@ def p4_bodies(spark: SparkSession, d: str) -> DataFrame:
     return body.body_texts(table(spark, d, "parsed_documents"), table(spark, d, "fetch_results"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_pages(table(spark, d, "parsed_documents")).select("page_id")
+
+
+def p5_clean_pages(spark: SparkSession, d: str) -> DataFrame:
+    return residue.clean_pages(table(spark, d, "parsed_documents").select("page_id", "url", "title", "main_text").dropDuplicates(["page_id"]))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.spam_pages(table(spark, d, "parsed_documents")).select("page_id")
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.document_sizes(table(spark, d, "documents")))
 
@@ -62,6 +74,9 @@ QUERIES = {
     "p2_error_rate": p2_error_rate,
     "p4_found": p4_found,
     "p4_bodies": p4_bodies,
+    "p5_found": p5_found,
+    "p5_clean_pages": p5_clean_pages,
+    "p7_found": p7_found,
     "p8_pack": p8_pack,
     "p8_fill": p8_fill,
     "p9_found": p9_found,

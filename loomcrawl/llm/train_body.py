@@ -94,7 +94,7 @@ def label_pages(pages: list[tuple]) -> list[tuple[int, list[dom.Node], list[int]
                     label = 1
                 elif named[p] >= 2 and named[p] >= SHARE * (named[p] + bare[p]) and (named[p] >= min(20, bare[p]) or not _TEASER.search(p)):
                     label = 0
-                elif (share(cues_of(p)[0]) > 0.2 and p[0] != "x") or share(cues_of(p)[1]) > 0.3 or _PATH.search(p):
+                elif (share(cues_of(p)[0]) > 0.2 and p[0] != "x") or share(cues_of(p)[1]) > 0.3 or (_PATH.search(p) and len(p.split()) <= 20):
                     label = 0 if not _TEASER.match(p) else -1
                 elif named[p] == 0 and (body.shape(n.text) in "Ss" or len(p.split()) > 12 or not _TEASER.search(p)):
                     label = 1
