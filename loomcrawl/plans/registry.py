@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomcrawl.plans import core_problems
+from loomcrawl.plans import core_problems, core_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,18 +20,18 @@ def _llm():
 
 
 def all_queries() -> dict[str, Query]:
-    found = dict(core_problems.QUERIES)
+    found = core_problems.QUERIES | core_queries.QUERIES
     if llm := _llm():
         found |= llm.QUERIES
     return found
 
 
 def all_sql() -> dict[str, str]:
-    found = dict(core_problems.SQL)
+    found = core_problems.SQL | core_queries.SQL
     if llm := _llm():
         found |= llm.SQL
     return found
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return core_problems.p3_host_figures(spark, folder)
+    return core_queries.opic_top(spark, folder)
