@@ -7,6 +7,8 @@ plain DNS name or IPv4 address. Invalid input gives NULL, never an error.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,15 +29,37 @@ _NEEDS_FOLD = r"//|/\.\.?(?:/|$)"
 HOST_RULE = r"^(?=.{1,253}$)[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)*$"
 
 
+_BLANKS = "".join(map(chr, range(0x21)))
+#: Joins the groups of a matched URL; no URL holds it.
+_MARK = "\x01"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def present(value: Column) -> Column:
+    """A generator that gives ``value`` where it is not NULL and drops the row where it is.
+
+    Unlike a filter it is never pushed below the projection, which would compute an
+    expensive value twice.
+    """
+    return F.explode(F.array_compact(F.array(value)))
+
+
 def java_trim(text: Column) -> Column:
     """Strip every character up to U+0020 from both ends."""
-    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
+
+
+def _without_dot(host: Column) -> Column:
+    return F.when(host.endswith("."), F.left(host, F.length(host) - 1)).otherwise(host)
 
 
 def canon_host(raw: Column) -> Column:
     """trimmed, lower-case host without one trailing dot; NULL when invalid."""
-    host = F.regexp_replace(F.lower(java_trim(raw)), r"\.$", "")
-    return F.when(host.rlike(HOST_RULE), host)
+    return let(F.lower(java_trim(raw)), lambda low: let(_without_dot(low), lambda host: F.when(host.rlike(HOST_RULE), host)))
 
 
 def fold_path(path: Column) -> Column:
@@ -56,21 +80,26 @@ def fold_path(path: Column) -> Column:
 
 
 def url_parts(raw: Column) -> Column:
-    """F1 in full: struct(value, host, scheme, path, query, port), NULL when rejected."""
-    text = java_trim(raw)
-    part = lambda k: F.regexp_extract(text, URL, k)
-    scheme = F.lower(part(1))
-    host = canon_host(part(2))
-    digits = part(3)
+    """F1 in full: struct(value, host, scheme, path, query, port), NULL when rejected.
+
+    The URL pattern is matched once; its groups come out joined by a mark.
+    """
+    groups = lambda text: F.when(
+        ~text.contains(_MARK) & ~text.rlike(_BROKEN_ESCAPE),
+        F.split(F.regexp_replace(text, URL, _MARK.join(f"${k}" for k in range(1, 6))), _MARK, -1),
+    )
+    return let(let(java_trim(raw), groups), lambda g: F.when(F.size(g) == 5, let(_without_dot(F.lower(g[1])), lambda host: _assemble(g, host))))
+
+
+def _assemble(g: Column, host: Column) -> Column:
+    scheme, digits, raw_path, query = F.lower(g[0]), g[2], g[3], g[4]
     number = digits.try_cast("int")
-    valid = text.rlike(URL) & ~text.rlike(_BROKEN_ESCAPE) & host.isNotNull() & ((digits == "") | number.isNotNull())
-    default = default_port(scheme)
-    port = F.when((digits == "") | (number == default), F.lit(-1)).otherwise(number)
-    raw_path = part(4)
+    valid = host.rlike(HOST_RULE) & ((digits == "") | number.isNotNull())
+    port = F.when((digits == "") | (number == default_port(scheme)), F.lit(-1)).otherwise(number)
     path = F.when(raw_path == "", F.lit("/")).when(raw_path.rlike(_NEEDS_FOLD), fold_path(raw_path)).otherwise(raw_path)
-    query = F.when(part(5) != "", F.substring(part(5), 2, 2_000_000_000))
-    value = F.concat(scheme, F.lit("://"), host, F.when(port != -1, F.concat(F.lit(":"), port.cast("string"))).otherwise(""), path, part(5))
-    return F.when(valid, F.struct(value.alias("value"), host.alias("host"), scheme.alias("scheme"), path.alias("path"), query.alias("query"), port.alias("port")))
+    inner = F.when(query != "", F.substring(query, 2, 2_000_000_000))
+    value = F.concat(scheme, F.lit("://"), host, F.when(port != -1, F.concat(F.lit(":"), port.cast("string"))).otherwise(""), path, query)
+    return F.when(valid, F.struct(value.alias("value"), host.alias("host"), scheme.alias("scheme"), path.alias("path"), inner.alias("query"), port.alias("port")))
 
 
 def canon_url(raw: Column) -> Column:

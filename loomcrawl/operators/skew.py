@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomcrawl.functions.url import canon_host
+from loomcrawl.session import materialize
 
 #: Heavy-key candidates kept by the sketch. Its size never grows with the data.
 SKETCH_KEYS = 256
@@ -66,7 +67,8 @@ def host_figures(entries: DataFrame, classes: tuple[str, ...] = CLASSES, salts:
     with a NULL host. Entries are counted as they stand, repeated rows included. A
     priority class outside ``classes``, or none, counts as ``other_class``.
     """
-    slim = entries.select(canon_host(F.col("host_name")).alias("host"), "entry_id", "url", "priority_class", "discovered_at_epoch_ms")
+    host = F.explode(F.array(canon_host(F.col("host_name"))))  # computed once, whatever reads it later
+    slim = entries.select(host.alias("host"), "entry_id", "url", "priority_class", "discovered_at_epoch_ms")
     name = lambda c: f"n_{c.lower()}"
     known = F.col("__in_priority_class").isin(*classes)
     partial = {"n_rows": F.count("*"), "oldest_ms": F.min("__in_discovered_at_epoch_ms")}
@@ -90,6 +92,10 @@ def with_policy(figures: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def frequent_hosts(figures: DataFrame, percent: int = 2) -> DataFrame:
-    """Hosts with at least ``percent`` of all rows, rows without a host in the total."""
+    """Hosts with at least ``percent`` of all rows, rows without a host in the total.
+
+    The figures are written once and read for the total and for the hosts.
+    """
+    figures = materialize(figures.select("host", "n_rows"), "host-figures")
     total = figures.agg(F.sum("n_rows").alias("n")).scalar()
     return figures.where(F.col("host").isNotNull() & (F.col("n_rows") * 100 >= total * percent)).select("host")

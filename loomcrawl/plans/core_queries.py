@@ -77,17 +77,17 @@ def targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hosts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "back_queue_entries").select(url.canon_host(F.col("host_name")).alias("host")).where(F.col("host").isNotNull()).distinct()
+    return table(spark, d, "back_queue_entries").select(url.present(url.canon_host(F.col("host_name"))).alias("host")).distinct()
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
     each = table(spark, d, "forwarding_batches").select("delivery_id", F.posexplode("urls").alias("entry_no", "e"))
-    return each.select("delivery_id", "entry_no", url.canon_url(F.col("e.url")).alias("key")).where(F.col("key").isNotNull())
+    return each.select("delivery_id", "entry_no", url.present(url.canon_url(F.col("e.url"))).alias("key"))
 
 
 def fetches(spark: SparkSession, d: str) -> DataFrame:
     """Fetches once each, with the host of their url."""
-    f = table(spark, d, "fetch_results").withColumn("parts", url.url_parts(F.col("url")))
+    f = table(spark, d, "fetch_results").select("fetch_id", "outcome", "fetched_at", F.explode(F.array(url.url_parts(F.col("url")))).alias("parts"))
     return f.select("fetch_id", F.col("parts.value").alias("url"), F.col("parts.host").alias("host"), "outcome", F.unix_millis("fetched_at").alias("at_ms"), F.col("fetch_id").alias("seq")).dropDuplicates(["fetch_id"])
 
 
@@ -117,7 +117,7 @@ def url_reject(spark, d):
     f"SELECT DISTINCT value, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || path || CASE WHEN query IS NOT NULL THEN '?' || query ELSE '' END AS surt, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM {_URLS} WHERE value IS NOT NULL",
 )
 def url_surt(spark, d):
-    p = targets(spark, d).select(url.url_parts(F.col("target_url")).alias("p")).where(F.col("p").isNotNull())
+    p = targets(spark, d).select(url.present(url.url_parts(F.col("target_url"))).alias("p"))
     return p.select(F.col("p.value").alias("value"), url.surt_key(F.col("p")).alias("surt"), url.registrable_domain(F.col("p.host")).alias("domain")).distinct()
 
 
@@ -151,13 +151,13 @@ def url_dedup_stats(spark, d):
 
 @query("url_net_new", f"SELECT DISTINCT key FROM {_KEYS} WHERE key NOT IN (SELECT key FROM {_LINKS})")
 def url_net_new(spark, d):
-    links = targets(spark, d).select(url.canon_url(F.col("target_url")).alias("key")).where(F.col("key").isNotNull()).distinct()
+    links = targets(spark, d).select(url.present(url.canon_url(F.col("target_url"))).alias("key")).distinct()
     return dedup.net_new(entries(spark, d), links, "key")
 
 
 @query("url_probe", f"SELECT DISTINCT key, CASE WHEN key IN (SELECT key FROM {_LINKS}) THEN 'DUPLICATE' ELSE 'NEW' END AS verdict FROM {_KEYS}")
 def url_probe(spark, d):
-    links = targets(spark, d).select(url.canon_url(F.col("target_url")).alias("key")).where(F.col("key").isNotNull())
+    links = targets(spark, d).select(url.present(url.canon_url(F.col("target_url"))).alias("key"))
     return dedup.probe(entries(spark, d), links, "key")
 
 
@@ -281,7 +281,7 @@ _EDGES = f"(SELECT s.value AS source, s.host AS source_host, t.value AS target,
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     links = table(spark, d, "extracted_links").dropDuplicates(["link_id"])
-    both = links.withColumn("s", url.url_parts(F.col("source_url"))).withColumn("t", url.url_parts(F.col("target_url"))).where(F.col("s").isNotNull() & F.col("t").isNotNull())
+    both = links.select("*", url.present(url.url_parts(F.col("source_url"))).alias("s")).select("*", url.present(url.url_parts(F.col("target_url"))).alias("t"))
     return both.select(F.col("s.value").alias("source"), F.col("s.host").alias("source_host"), F.col("t.value").alias("target"), F.col("t.host").alias("target_host"), "anchor_text", "rel", "dom_section", "link_id")
 
 
@@ -349,7 +349,7 @@ _PAGE_URLS = url_table("parsed_documents", "url", "page_id, title, main_text, si
     f"""SELECT DISTINCT ON (page_id) page_id, {_duck_kv(event="'document'", url="value", host="host", title="left(coalesce(title, ''), 256)", text_length="length(coalesce(main_text, ''))", simhash64="lower(hex(CASE WHEN simhash64 < 0 THEN simhash64::HUGEINT + 18446744073709551616 ELSE simhash64::HUGEINT END::UBIGINT))", fetched_at=_duck_instant("parsed_at"))} AS line FROM {_PAGE_URLS} WHERE value IS NOT NULL AND is_indexable""",
 )
 def document_events(spark, d):
-    p = pages(spark, d).where("is_indexable").withColumn("u", url.url_parts(F.col("url"))).where(F.col("u").isNotNull())
+    p = pages(spark, d).where("is_indexable").select("*", url.present(url.url_parts(F.col("url"))).alias("u"))
     line = codec.kv_line(event=F.lit("document"), url=F.col("u.value"), host=F.col("u.host"), title=codec.truncate(F.col("title"), 256), text_length=F.length(F.coalesce("main_text", F.lit(""))), simhash64=hashing.hex_short(F.col("simhash64")), fetched_at=archive.iso_instant(F.col("parsed_at")))
     return p.select("page_id", line.alias("line"))
 
@@ -362,7 +362,7 @@ def link_events(spark, d):
 
 @query("fetch_events", f"""SELECT DISTINCT ON (fetch_id) fetch_id, {_duck_kv(event="'fetch'", url="value", host="host", http_status="http_status", fetch_duration_ms="fetch_duration_ms", body_size_bytes="coalesce(octet_length(body), 0)", content_type="content_type", conditional_used="conditional_used", conditional_matched="conditional_matched", fetched_at=_duck_instant("fetched_at"))} AS line FROM {_FETCH_URLS} WHERE value IS NOT NULL""")
 def fetch_events(spark, d):
-    f = table(spark, d, "fetch_results").dropDuplicates(["fetch_id"]).withColumn("u", url.url_parts(F.col("url"))).where(F.col("u").isNotNull())
+    f = table(spark, d, "fetch_results").dropDuplicates(["fetch_id"]).select("*", url.present(url.url_parts(F.col("url"))).alias("u"))
     line = codec.kv_line(event=F.lit("fetch"), url=F.col("u.value"), host=F.col("u.host"), http_status=F.col("http_status"), fetch_duration_ms=F.col("fetch_duration_ms"), body_size_bytes=F.coalesce(F.octet_length("body"), F.lit(0)), content_type=F.col("content_type"), conditional_used=F.col("conditional_used"), conditional_matched=F.col("conditional_matched"), fetched_at=archive.iso_instant(F.col("fetched_at")))
     return f.select("fetch_id", line.alias("line"))
 
@@ -493,7 +493,7 @@ _SCOPE = f"(SELECT DISTINCT value AS url, CASE WHEN {_duck_rules(DENY)} THEN 'DE
 
 
 def _scope(spark, d):
-    p = targets(spark, d).select(url.url_parts(F.col("target_url")).alias("p")).where(F.col("p").isNotNull())
+    p = targets(spark, d).select(url.present(url.url_parts(F.col("target_url"))).alias("p"))
     return p.select(F.col("p.value").alias("url"), robots.scope_verdict(F.col("p.host"), ALLOW, DENY).alias("verdict")).distinct()
 
 
@@ -551,7 +551,7 @@ _HOT = f"(SELECT {duck_host('host')} AS host, list_concat([owning_agent], coales
 
 @query("hot_executor", f"SELECT u.value AS url, p.agents[((h & 9223372036854775807::UHUGEINT)::BIGINT % split_factor + 1)] AS agent FROM {mixed(f'(SELECT DISTINCT value, host FROM {_URLS} WHERE value IS NOT NULL)', 'value, host', 'value')} u JOIN {_HOT} p USING (host)")
 def hot_executor(spark, d):
-    u = targets(spark, d).select(url.url_parts(F.col("target_url")).alias("p")).where(F.col("p").isNotNull()).select(F.col("p.value").alias("url"), F.col("p.host").alias("host")).distinct()
+    u = targets(spark, d).select(url.present(url.url_parts(F.col("target_url"))).alias("p")).select(F.col("p.value").alias("url"), F.col("p.host").alias("host")).distinct()
     hot = routing.participants(table(spark, d, "hot_host_policies"))
     return u.join(hot, "host").select("url", routing.hot_executor(F.col("url"), F.col("agents"), F.col("split")).alias("agent"))
 

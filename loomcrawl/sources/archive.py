@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcrawl.functions.codec import cdxj_line
-from loomcrawl.functions.url import surt_key, url_parts
+from loomcrawl.functions.url import present, surt_key, url_parts
 
 CRLF = "\r\n"
 
@@ -47,8 +47,7 @@ def warc_record(kind: str, uri: Column, at: Column, record_id: Column, payload:
 
 def index_lines(entries: DataFrame) -> DataFrame:
     """K4: (surt, captured_at, line) of every entry with a valid url."""
-    parts = url_parts(F.col("url"))
-    keyed = entries.withColumn("parts", parts).where(F.col("parts").isNotNull()).withColumn("surt", surt_key(F.col("parts")))
+    keyed = entries.select("*", present(url_parts(F.col("url"))).alias("parts")).withColumn("surt", surt_key(F.col("parts")))
     line = cdxj_line(
         F.col("surt"),
         F.col("captured_at"),
