@@ -17,10 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomcrawl.functions.url import canon_url
+from loomcrawl.functions.url import canon_url, present
+from loomcrawl.session import materialize
 
 GAMMA = 1.6
 LEVELS = 32
+#: So few keys are left as they are, after the last level.
+FEW = 32
 #: Epochs into which the incoming deliveries are cut; each is sealed before the next.
 EPOCHS = 8
 BITS = 32
@@ -38,7 +41,8 @@ class SealedKeys:
     """Minimal perfect hash over 64-bit key hashes with one fingerprint per slot.
 
     Level by level, keys that are alone in their cell of a bit array are placed there and
-    the others go on. A key's slot is the rank of its bit over all levels.
+    the others go on. A key's slot is the rank of its bit over all levels. The last few
+    keys are kept as exact hashes.
     """
 
     def __init__(self, h1: np.ndarray, h2: np.ndarray, bits: int = BITS):
@@ -48,7 +52,7 @@ class SealedKeys:
         left, prints = h1[order], h2[order]
         self.sizes, words, placed = [], [], []
         for level in range(LEVELS):
-            if not len(left):
+            if len(left) <= FEW:
                 break
             size = max(64, -(-int(len(left) * GAMMA) // 64) * 64)
             cell = (_mix(left, level) % np.uint64(size)).astype(np.int64)
@@ -84,6 +88,8 @@ class SealedKeys:
             hit = todo[here]
             seen[hit] |= self.prints[slot] == (h2[hit] & self.mask)
             todo, base = todo[~here], base + size // 64
+            if not len(todo):
+                break
         return seen
 
 
@@ -94,11 +100,17 @@ def key_hashes(key: Column) -> tuple[Column, Column]:
 def entry_keys(batches: DataFrame) -> DataFrame:
     """(delivery_id, entry_no, key) of every entry with a valid url, entry_no from 0."""
     each = batches.select("delivery_id", F.posexplode("urls").alias("entry_no", "entry"))
-    return each.select("delivery_id", "entry_no", canon_url(F.col("entry.url")).alias("key")).where(F.col("key").isNotNull())
+    return each.select("delivery_id", "entry_no", present(canon_url(F.col("entry.url"))).alias("key"))
 
 
 def link_keys(links: DataFrame) -> DataFrame:
-    return links.select(canon_url(F.col("target_url")).alias("key")).where(F.col("key").isNotNull())
+    return links.select(present(canon_url(F.col("target_url"))).alias("key"))
+
+
+def hashed(keys: DataFrame) -> DataFrame:
+    """Replace the column key by its hashes h1 and h2; rows without a key are left out."""
+    h1, h2 = key_hashes(F.col("key"))
+    return keys.where(F.col("key").isNotNull()).select(*[c for c in keys.columns if c != "key"], h1.alias("h1"), h2.alias("h2"))
 
 
 def _bucket(h1: Column, buckets: int) -> Column:
@@ -108,21 +120,21 @@ def _bucket(h1: Column, buckets: int) -> Column:
 def new_entries(history: DataFrame, entries: DataFrame, bits: int = BITS, epochs: int = EPOCHS, buckets: int | None = None) -> DataFrame:
     """(delivery_id, entry_no) of the entries whose key is in neither ``history`` nor an earlier entry.
 
-    ``history`` has a column key, ``entries`` delivery_id, entry_no and key. Keys are
+    ``history`` has h1 and h2, ``entries`` delivery_id, entry_no, h1 and h2, from
+    :func:`hashed`. Keys are
     made distinct per epoch before they move, so a key that is a third of all rows is one
     row. Each task streams through its buckets in order of epoch; it holds the hashes of
-    one epoch of one bucket and the sealed segments of that bucket, nothing else. NULL
-    keys give no rows; an empty history or no entries is fine.
+    one epoch of one bucket and the sealed segments of that bucket, nothing else. An
+    empty history or no entries is fine.
     """
     spark = entries.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     span = entries.agg(F.min("delivery_id"), F.max("delivery_id")).first()
     low, high = span[0] or 0, span[1] or 0
     epoch = F.floor((F.col("delivery_id") - low) * F.lit(float(epochs)) / F.lit(float(high - low + 1))).cast("int")
-    h1, h2 = key_hashes(F.col("key"))
     none = F.lit(None).cast("bigint")
-    old = history.where(F.col("key").isNotNull()).select(h1.alias("h1"), h2.alias("h2"), F.lit(-1).alias("epoch"), none.alias("delivery_id"), none.cast("int").alias("entry_no"))
-    now = entries.where(F.col("key").isNotNull()).select(h1.alias("h1"), h2.alias("h2"), epoch.alias("epoch"), "delivery_id", F.col("entry_no").cast("int").alias("entry_no"))
+    old = history.select("h1", "h2", F.lit(-1).alias("epoch"), none.alias("delivery_id"), none.cast("int").alias("entry_no"))
+    now = entries.select("h1", "h2", epoch.alias("epoch"), "delivery_id", F.col("entry_no").cast("int").alias("entry_no"))
     firsts = (
         old.unionByName(now)
         .groupBy("h1", "h2", "epoch")
@@ -165,8 +177,8 @@ def new_entries(history: DataFrame, entries: DataFrame, bits: int = BITS, epochs
 
 def seen_entries(batches: DataFrame, links: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> DataFrame:
     """(delivery_id, entry_no) of every valid entry that is not the first of its key."""
-    entries = entry_keys(batches)
-    fresh = new_entries(link_keys(links), entries, bits, epochs)
+    entries = materialize(hashed(entry_keys(batches)), "entry-keys")
+    fresh = new_entries(hashed(link_keys(links)), entries, bits, epochs)
     return entries.select("delivery_id", "entry_no").distinct().join(fresh, ["delivery_id", "entry_no"], "left_anti")
 
 
@@ -178,8 +190,8 @@ def exact_new_entries(history: DataFrame, entries: DataFrame) -> DataFrame:
 
 def error_rate(batches: DataFrame, links: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> DataFrame:
     """One row: fingerprint bits, valid entries, entries answered wrongly, and their rate."""
-    entries, history = entry_keys(batches), link_keys(links)
-    ours = new_entries(history, entries, bits, epochs).withColumn("ours", F.lit(1))
+    entries, history = materialize(entry_keys(batches), "error-entries"), materialize(link_keys(links), "error-links")
+    ours = new_entries(hashed(history), hashed(entries), bits, epochs).withColumn("ours", F.lit(1))
     truth = exact_new_entries(history, entries).withColumn("truth", F.lit(1))
     wrong = ours.join(truth, ["delivery_id", "entry_no"], "full").where(F.col("ours").isNull() | F.col("truth").isNull()).agg(F.count("*").alias("n_wrong"))
     total = entries.agg(F.count("*").alias("n_entries"))
