@@ -44,12 +44,12 @@ def frontier_positions(entries: DataFrame, order: list[str]) -> DataFrame:
     Positions come from counts per (host, slice) and a rank within the slice, so a host
     with a third of all entries is not ranked by one task. ``order`` must end in a key.
     """
-    slices = entries.where(F.col("host").isNotNull()).withColumn("slice", F.floor(F.col(order[0]) / 3_600_000))
-    counts = slices.groupBy("host", "slice").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("host").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("host", "slice", before.alias("start"))
-    rank = F.row_number().over(Window.partitionBy("host", "slice").orderBy(*order))
-    return slices.withColumn("k", rank).join(starts, ["host", "slice"]).withColumn("position", (F.col("start") + F.col("k")).cast("bigint")).drop("k", "start", "slice")
+    slices = entries.where(F.col("host").isNotNull()).withColumn("__slice", F.floor(F.col(order[0]) / 3_600_000))
+    counts = slices.groupBy("host", "__slice").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("host").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("host", "__slice", before.alias("__start"))
+    rank = F.row_number().over(Window.partitionBy("host", "__slice").orderBy(*order))
+    return slices.withColumn("__k", rank).join(starts, ["host", "__slice"]).withColumn("position", (F.col("__start") + F.col("__k")).cast("bigint")).drop("__k", "__start", "__slice")
 
 
 def claim_order(entries: DataFrame, order: list[str], limit: int, delay_ms: int = 1000) -> DataFrame:
@@ -70,10 +70,10 @@ def batches(rows: DataFrame, target: str, order: str, size: int = 100) -> DataFr
 
     The rank is made of two stages like in :func:`frontier_positions`.
     """
-    wide = rows.where(F.col(target).isNotNull()).withColumn("slice", F.floor(F.col(order) / 4096))
-    counts = wide.groupBy(target, "slice").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(target).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(target, "slice", before.alias("start"))
-    k = F.row_number().over(Window.partitionBy(target, "slice").orderBy(order)) - 1
-    placed = wide.withColumn("k", k).join(starts, [target, "slice"]).withColumn("at", F.col("start") + F.col("k"))
-    return placed.withColumn("batch_no", F.floor(F.col("at") / size).cast("bigint")).withColumn("place", (F.col("at") % size).cast("bigint")).drop("slice", "start", "k", "at")
+    wide = rows.where(F.col(target).isNotNull()).withColumn("__slice", F.floor(F.col(order) / 4096))
+    counts = wide.groupBy(target, "__slice").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(target).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(target, "__slice", before.alias("__start"))
+    k = F.row_number().over(Window.partitionBy(target, "__slice").orderBy(order)) - 1
+    placed = wide.withColumn("__k", k).join(starts, [target, "__slice"]).withColumn("__at", F.col("__start") + F.col("__k"))
+    return placed.withColumn("batch_no", F.floor(F.col("__at") / size).cast("bigint")).withColumn("place", (F.col("__at") % size).cast("bigint")).drop("__slice", "__start", "__k", "__at")

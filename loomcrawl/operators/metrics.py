@@ -14,7 +14,7 @@ MINUTE_MS = 60_000
 def last_rows(samples: DataFrame, key: str, order: list[str], n: int = LAST) -> DataFrame:
     """The newest n rows of each key. ``row_number() <= n`` prunes each task's rows before the shuffle."""
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return samples.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).drop("k")
+    return samples.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n).drop("__k")
 
 
 def at_index(values: Column, p: float) -> Column:
@@ -25,9 +25,9 @@ def at_index(values: Column, p: float) -> Column:
 
 def timer_percentiles(samples: DataFrame, key: str, value: str, order: list[str], n: int = LAST) -> DataFrame:
     """p50 and p99 over the newest n samples of a key, and the count of all."""
-    kept = last_rows(samples, key, order, n).groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("v"))  # at most n values a key
+    kept = last_rows(samples, key, order, n).groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("__v"))  # at most n values a key
     total = samples.groupBy(key).agg(F.count("*").alias("n_samples"))
-    return kept.join(total, key).select(key, "n_samples", at_index(F.col("v"), 0.5).alias("p50"), at_index(F.col("v"), 0.99).alias("p99"), F.element_at("v", -1).alias("max"))
+    return kept.join(total, key).select(key, "n_samples", at_index(F.col("__v"), 0.5).alias("p50"), at_index(F.col("__v"), 0.99).alias("p99"), F.element_at("__v", -1).alias("max"))
 
 
 def prometheus(counters: DataFrame) -> DataFrame:
