@@ -77,6 +77,7 @@ def text_features(text: str, known: frozenset | set) -> list[str]:
         if n <= 10:
             found += {f"t:{a}_{b}_{c}" for a, b, c in zip(words, words[1:], words[2:])}
         found.append("f:" + (words[0] if words else ""))
+        found.append("f2:" + "_".join(words[:2]))
         found.append("l:" + (words[-1] if words else ""))
     size = len(low)
     found.append(f"n:{min(n, 4) if n < 5 else 5 + min(5, n // 6)}")

@@ -102,6 +102,18 @@ def score_lines(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return window, rate
 
 
+def _hits(lines: list[str], window: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    hit = (window >= WINDOW_NATS) & (rate >= LINE_NATS)
+    # A short line cannot gather many nats; it must be clear in every character.
+    lengths = np.array([len(x) for x in lines]) if lines else np.zeros(0)
+    return hit | ((rate >= 0.9) & (lengths[:, None] <= 16) & (window >= 3.5))
+
+
+def line_hits(lines: list[str]) -> np.ndarray:
+    """For each squeezed line and class whether the line reads as of the class."""
+    return _hits(lines, *score_lines(lines))
+
+
 def judge_pages(pages: list[tuple[str | None, str | None]]) -> list[tuple[bool, bool, bool]]:
     """(residue, filler, notice) of each (title, main_text).
 
@@ -127,10 +139,7 @@ def judge_pages(pages: list[tuple[str | None, str | None]]) -> list[tuple[bool,
                 owner.append(k)
                 kind.append(1)
     window, rate = score_lines(lines)
-    hit = (window >= WINDOW_NATS) & (rate >= LINE_NATS)
-    # A short line cannot gather many nats; it must be clear in every character.
-    lengths = np.array([len(x) for x in lines]) if lines else np.zeros(0)
-    hit |= (rate >= 0.9) & (lengths[:, None] <= 16) & (window >= 3.5)
+    hit = _hits(lines, window, rate)
     best = rate.argmax(axis=1) if len(lines) else np.zeros(0, int)
     owner, kind = np.array(owner, int), np.array(kind, int)
     out = [(False, False, False)] * len(pages)

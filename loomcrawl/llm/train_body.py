@@ -17,19 +17,19 @@ from collections import Counter
 import numpy as np
 import pyarrow.parquet as pq
 
-from loomcrawl.llm import body, dom
+from loomcrawl.llm import body, dom, residue
 
-MAX_PAGES = 4000
+MAX_PAGES = 5000
 MIN_WORD = 6
 MIN_FEATURE = 5
-ROUNDS = 40
+ROUNDS = 60
 RATE = 0.5
 L2 = 2e-4
 #: Share of named occurrences from which an unnamed line takes the label furniture.
 SHARE = 0.03
 _NAME = re.compile(r"\b[A-ZÀ-Ý][\wà-ÿ]*(?:[- _][A-ZÀ-Ý0-9][\wà-ÿ]*)*")
 _HOST = re.compile(r"[\w.-]+\.(?:example|test)\b")
-_TEASER = re.compile(r"\b(?:notes on an?|an? \w+ year for|and the|inside the|how \w+ \w+ the)\b|^(?:0\. )?x(?: [–-] x)?$|^x: (?:der|die|das|el|la|le|l')\b|^(?:0\. )?x, [^.]*$", re.I)
+_TEASER = re.compile(r"\b(?:notes on an?|an? \w+ year for|and the|inside the|how \w+ \w+ the)\b|^(?:0\. )?x(?: [–-] x)?$|^x: (?:der|die|das|el|la|le|l')\b|^(?:0\. )?x, [^.,]*$", re.I)
 _PATH = re.compile(r"^x [›»>/|] |\(0 \w+\)$|^x_0\b|^[^.]* [›»→|] ")
 #: A name before a whole title, as notes inside a text are made; teasers never are.
 _NOTE = re.compile(r"^[A-ZÀ-Ý][\wà-ÿ]+ [A-ZÀ-Ý][\wà-ÿ]+ – .+(?: – |: |, ).+$")
@@ -40,10 +40,10 @@ def pattern_of(text: str) -> str:
     return _NAME.sub("X", _HOST.sub("X", re.sub(r"\d+", "0", text))).lower()
 
 
-def cues_of(pattern: str) -> tuple[str, str]:
-    """The first two and the last two words of a masked line."""
-    words = body._WORD.findall(pattern)
-    return "^" + " ".join(words[:2]), " ".join(words[-2:]) + "$"
+def cues_of(text: str) -> tuple[str, str]:
+    """The first two words of a line, and the last two of its masked form."""
+    first, last = body._WORD.findall(text.lower()), body._WORD.findall(pattern_of(text))
+    return "^" + " ".join(first[:2]), " ".join(last[-2:]) + "$"
 
 
 def read_pages(folder: str) -> list[tuple]:
@@ -73,7 +73,7 @@ def label_pages(pages: list[tuple]) -> list[tuple[int, list[dom.Node], list[int]
             if n.text and i in where and n.tag not in ("h1", "h2", "h3"):
                 p = pattern_of(n.text)
                 (named if marked else bare)[p] += 1
-                (for_named if marked else for_bare).update(cues_of(p))
+                (for_named if marked else for_bare).update(cues_of(n.text))
         trees.append((page_id, nodes, where, marks))
 
     def share(cue: str) -> float:
@@ -94,21 +94,24 @@ def label_pages(pages: list[tuple]) -> list[tuple[int, list[dom.Node], list[int]
                     label = 1
                 elif named[p] >= 2 and named[p] >= SHARE * (named[p] + bare[p]) and (named[p] >= min(20, bare[p]) or not _TEASER.search(p)):
                     label = 0
-                elif (share(cues_of(p)[0]) > 0.2 and p[0] != "x") or share(cues_of(p)[1]) > 0.3 or (_PATH.search(p) and len(p.split()) <= 20):
+                elif share(cues_of(n.text)[0]) > 0.2 or share(cues_of(n.text)[1]) > 0.3 or (_PATH.search(p) and len(p.split()) <= 20):
                     label = 0 if not _TEASER.match(p) else -1
                 elif named[p] == 0 and (body.shape(n.text) in "Ss" or len(p.split()) > 12 or not _TEASER.search(p)):
                     label = 1
             labels.append(label)
+        # Messages, filler and residue stand in place of a body: unmarked ones are content.
+        doubtful = [i for i, label in enumerate(labels) if label == 0 and not marks[i]]
+        for i, hit in zip(doubtful, residue.line_hits([nodes[i].text for i in doubtful]).any(axis=1)):
+            if hit:
+                labels[i] = 1
         out.append((page_id, nodes, labels))
     return out
 
 
 def main(folder: str) -> None:
     pages = read_pages(folder)
-    step = max(1, len(pages) // MAX_PAGES)
     labelled = label_pages(pages)
-    train = labelled[::step][:MAX_PAGES]
-    held = [x for i, x in enumerate(labelled) if i % step][:2000] if step > 1 else []
+    train, held = labelled[:MAX_PAGES], labelled[MAX_PAGES : MAX_PAGES + 2000]
     counts = Counter(w for _, nodes, _ in train for n in nodes for w in set(body._WORD.findall(n.text.lower())) if not w[0].isdigit())
     known = {w for w, n in counts.items() if n >= MIN_WORD}
     # Words that occur only with a capital are names, which must not be learned.
