@@ -58,8 +58,8 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots_bodi
         judged = materialize(asked.join(verdicts, ["host", "agent", "path"]).select("url", "verdict"), "crawl-judged")
         allowed = judged.where(F.col("verdict") == "ALLOWED").select("url")
         stats.disallowed += judged.where(F.col("verdict") != "ALLOWED").count()
-        claimed = materialize(allowed.orderBy("url").limit(room), "crawl-claimed")
-        capped = claimed.count() < allowed.count()
+        capped = allowed.count() > room
+        claimed = materialize(allowed.orderBy("url").limit(room), "crawl-claimed") if capped else allowed
         responses = materialize(fetch(claimed), "crawl-responses")
         counts = responses.agg(F.count("*").alias("n"), F.count(F.when(is_success(F.col("outcome")), 1)).alias("good")).first()
         stats.fetched += counts.n

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomcrawl.functions import codec, hashing, htmlparse, simhash, url
-from loomcrawl.operators import dedup, folds, graph, metrics, robots, routing
+from loomcrawl.operators import crawl, dedup, folds, graph, metrics, robots, routing, simulate
 from loomcrawl.operators.skew import CLASSES
 from loomcrawl.plans.duck import canon_host as duck_host
 from loomcrawl.plans.duck import url_table
-from loomcrawl.sources import archive
+from loomcrawl.sources import archive, fetch
 from loomcrawl.sources.tables import table
+from loomcrawl.streaming import keyed
+from loomcrawl.streaming.dedup import parquet_stream
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -732,3 +735,37 @@ _CLASS_COUNTS = ", ".join(f"count(*) FILTER (WHERE priority_class = '{c}') AS n_
 @query("frontier_stats", f"SELECT count(*) AS n_entries, count(DISTINCT host) AS n_hosts, min(discovered_at_epoch_ms) AS oldest_ms, {_CLASS_COUNTS} FROM {_QUEUE}")
 def frontier_stats(spark, d):
     return graph.frontier_stats(_queue(spark, d), CLASSES)
+
+
+# --- Streams, crawl and simulation ---------------------------------------------
+
+
+@query("stream_new_urls", "SELECT DISTINCT target_url FROM extracted_links WHERE target_url IS NOT NULL")
+def stream_new_urls(spark, d):
+    schema = T.StructType([T.StructField("target_url", T.StringType())])
+    arriving = parquet_stream(spark, f"{d}/extracted_links.parquet", schema, 8).where(F.col("target_url").isNotNull())
+    return keyed.run_to_files(keyed.new_urls(arriving, "target_url"), "new-urls")
+
+
+@query("stream_politeness")
+def stream_politeness(spark, d):
+    schema = T.StructType([T.StructField("fetch_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("fetched_at", T.TimestampType())])
+    claims = parquet_stream(spark, f"{d}/fetch_results.parquet", schema, 8).select(F.col("fetch_id").alias("seq"), F.unix_millis("fetched_at").alias("at_ms"), url.present(url.url_parts(F.col("url"))["host"]).alias("host"))
+    return keyed.run_to_files(keyed.politeness_stream(claims, 60_000), "grants")
+
+
+@query("crawl_waves")
+def crawl_waves(spark, d):
+    """Crawl from the seeds of the forwarded batches over the fetched pages."""
+    each = table(spark, d, "forwarding_batches").select(F.explode("urls").alias("e")).where(F.col("e.discovered_from_url").isNull())
+    f = table(spark, d, "fetch_results").where(F.col("body").isNotNull())
+    pages = f.select(url.present(url.canon_url(F.col("final_url"))).alias("url"), "body", "content_type", "fetch_id").dropDuplicates(["url"])
+    bodies = table(spark, d, "documents").where(F.col("doc_type") == "robots").groupBy(F.col("source").alias("host")).agg(F.max_by("text", "doc_id").alias("body"))
+    stats, _ = crawl.crawl(each.select(F.col("e.url").alias("url")), lambda urls: fetch.fetch_from(urls, pages), bodies, 10**12)
+    return spark.createDataFrame([tuple(vars(stats).values())], ", ".join(f"{k} bigint" for k in vars(stats)))
+
+
+@query("network_simulation")
+def network_simulation(spark, d):
+    sent = table(spark, d, "forwarding_batches").select("delivery_id", F.unix_millis("emitted_at").alias("sent_at_ms"))
+    return simulate.traffic(simulate.send(sent, "delivery_id", 7, 0.1, 50, 5000), NOW_MS - 10 * folds.DAY_MS)

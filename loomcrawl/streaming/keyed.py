@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomcrawl.operators.folds import DELAY_MS, MAX_BACKOFF, MIN_BACKOFF, ON_ERROR, ON_SUCCESS
+from loomcrawl.session import fresh_path
 
 GRANTS = "host string, seq bigint, granted boolean, wait_ms bigint"
 CLAIMS = "host string, url string, claimed_ms bigint, delay_ms bigint"
@@ -132,6 +133,15 @@ def drain(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.table(name)
 
 
+def run_to_files(stream: DataFrame, name: str) -> DataFrame:
+    """Run what there is to a committed file sink in the shared folder and read it."""
+    spark = stream.sparkSession
+    out, log = fresh_path(spark, name), fresh_path(spark, f"{name}-log")
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def arrivals_per_stream(events: DataFrame) -> DataFrame:
     """Published events per stream."""
     return events.groupBy("stream").agg(F.count("*").alias("n_published"))
