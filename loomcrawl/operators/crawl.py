@@ -17,12 +17,12 @@ from loomcrawl.functions.codec import is_success
 from loomcrawl.functions.htmlparse import parse_html
 from loomcrawl.functions.url import canon_url, present, url_parts
 from loomcrawl.operators import robots
-from loomcrawl.session import materialize
+from loomcrawl.session import fresh_path, materialize
 
 
 @dataclass
 class CrawlStats:
-    """Figures of a crawl; reason 0 is an empty frontier, 1 the cap."""
+    """Figures of a crawl; reason 0 is an empty frontier, 1 the cap, 2 the depth."""
 
     fetched: int = 0
     succeeded: int = 0
@@ -35,20 +35,26 @@ class CrawlStats:
     stop_reason: int = 0
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots_bodies: DataFrame, max_urls: int, agent: str = "loomcrawl") -> tuple[CrawlStats, dict[str, DataFrame]]:
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots_bodies: DataFrame, max_urls: int, agent: str = "loomcrawl", max_depth: int | None = None) -> tuple[CrawlStats, dict[str, DataFrame]]:
     """Crawl from ``seeds`` (url) until the frontier is empty or ``max_urls`` were fetched.
 
     ``fetch`` maps (url) to responses; ``robots_bodies`` has host and body. Gives the
     figures and the tables documents (url, doc) and links (source, target, ...). The cap
-    takes the urls of a wave in the order of their text.
+    takes the urls of a wave in the order of their text. ``max_depth`` bounds the links
+    from a seed; there is no bound by default.
     """
     stats = CrawlStats()
     rules, agents = robots.rule_table(robots_bodies), robots.agent_table(robots_bodies)
     rules, agents = materialize(rules, "crawl-rules"), materialize(agents, "crawl-agents")
     frontier = materialize(seeds.select(present(canon_url(F.col("url"))).alias("url")).distinct(), "crawl-frontier")
-    seen = frontier
+    spark = seeds.sparkSession
+    known = fresh_path(spark, "crawl-seen")  # every wave adds its files; none is written twice
+    frontier.write.parquet(known)
     tables: dict[str, DataFrame] = {}
     while not frontier.isEmpty():
+        if max_depth is not None and stats.waves > max_depth:
+            stats.stop_reason = 2
+            break
         room = max_urls - stats.fetched
         if room <= 0:
             stats.stop_reason = 1
@@ -73,11 +79,11 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots_bodi
         stats.documents += documents.count()
         found = links.count()
         stats.links += found
-        fresh = materialize(links.select(F.col("target").alias("url")).distinct().join(seen, "url", "left_anti"), "crawl-fresh")
+        fresh = materialize(links.select(F.col("target").alias("url")).distinct().join(spark.read.schema("url string").parquet(known), "url", "left_anti"), "crawl-fresh")
         stats.deduplicated += found - fresh.count()
         for name, df in (("documents", documents), ("links", links)):
             tables[name] = tables[name].unionByName(df) if name in tables else df
-        seen = materialize(seen.unionByName(fresh), "crawl-seen")
+        fresh.write.mode("append").parquet(known)
         frontier = fresh
         stats.waves += 1
         if capped:
