@@ -33,6 +33,10 @@ _DROP_ROLES = frozenset(["navigation", "banner", "complementary"])
 _DROP_CLASSES = frozenset(["ad", "ads", "advertisement", "comments"])
 _SECTION_TAGS = {"header": "HEADER", "footer": "FOOTER", "nav": "NAV", "aside": "SIDEBAR", "main": "MAIN", "article": "MAIN"}
 _SECTION_ROLES = {"banner": "HEADER", "navigation": "NAV", "complementary": "SIDEBAR", "contentinfo": "FOOTER", "main": "MAIN"}
+# The marks by which a page is judged to need a browser.
+EMPTY_BODY = 5000
+SPA_MARKER = r'(?i)<(div|app-root)\s+[^>]*\bid\s*=\s*"(root|app|main|__next)|<app-root\b|<ng-app\b|data-react'
+NOSCRIPT_TEXT = r"(?is)<noscript[^>]*>[^<]{20,}"
 _SPACE = re.compile(r"[ \t\n\x0b\f\r\xa0]+")
 
 
@@ -207,10 +211,9 @@ def render_reason(status: Column, page: Column) -> Column:
     tail = F.locate(">ydob/<", F.reverse(low))
     close = F.length(low) - tail - 5
     size = F.when((start > 0) & (after > 0) & (tail > 0) & (close >= after), close - after).otherwise(-1)
-    spa = r'(?i)<(?:div|app-root)\s+[^>]*\bid\s*=\s*"(?:root|app|main|__next)"|<app-root\b|<ng-app\b|data-react'
     return (
         F.when(~status.between(200, 299) | page.isNull(), F.lit(None).cast("string"))
-        .when((size >= 0) & (size < 5000), "EMPTY_BODY")
-        .when(page.rlike(spa), "SPA_FRAMEWORK_DETECTED")
-        .when(page.rlike(r"(?is)<noscript[^>]*>[^<]{20,}"), "CLASSIFIER_OTHER")
+        .when((size >= 0) & (size < EMPTY_BODY), "EMPTY_BODY")
+        .when(page.rlike(SPA_MARKER), "SPA_FRAMEWORK_DETECTED")
+        .when(page.rlike(NOSCRIPT_TEXT), "CLASSIFIER_OTHER")
     )
