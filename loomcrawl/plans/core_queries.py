@@ -757,13 +757,13 @@ def stream_politeness(spark, d):
 
 @query("crawl_waves")
 def crawl_waves(spark, d):
-    """Pages within two links of the seeds of the forwarded batches, from the fetched pages."""
+    """Crawl from the seeds of the forwarded batches over the fetched pages, until the frontier is empty."""
     each = table(spark, d, "forwarding_batches").select(F.explode("urls").alias("e")).where(F.col("e.discovered_from_url").isNull())
     f = table(spark, d, "fetch_results").where(F.col("body").isNotNull())
     pages = f.select(url.present(url.canon_url(F.col("final_url"))).alias("url"), "body", "content_type").dropDuplicates(["url"])
     pages = materialize(pages, "crawl-pages")
     bodies = table(spark, d, "documents").where(F.col("doc_type") == "robots").groupBy(F.col("source").alias("host")).agg(F.max_by("text", "doc_id").alias("body"))
-    stats, _ = crawl.crawl(each.select(F.col("e.url").alias("url")), lambda urls: fetch.fetch_from(urls, pages), bodies, 10**12, max_depth=2)
+    stats, _ = crawl.crawl(each.select(F.col("e.url").alias("url")), lambda urls: fetch.fetch_from(urls, pages), bodies, 10**12)
     return spark.createDataFrame([tuple(vars(stats).values())], ", ".join(f"{k} bigint" for k in vars(stats)))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loomcrawl import cli
 from loomcrawl.operators import crawl, simulate
+from loomcrawl.plans import core_queries
 from loomcrawl.sources import fetch
 from loomcrawl.streaming import keyed
 
@@ -35,6 +36,20 @@ def test_cap_and_forbidden_seed(spark):
     assert (stats.fetched, stats.disallowed, stats.succeeded) == (0, 1, 0)
 
 
+def test_named_crawl_follows_a_chain_to_its_end(spark, tmp_path):
+    urls = [f"http://chain.test/{k}" for k in range(6)]
+    bodies = [f'<a href="/{k + 1}">on</a>'.encode() for k in range(5)] + [b"<p>end</p>"]
+    tables = {
+        "forwarding_batches": ([([(urls[0], None)],)], "urls array<struct<url: string, discovered_from_url: string>>"),
+        "fetch_results": ([(u, b, "text/html") for u, b in zip(urls, bodies)], "final_url string, body binary, content_type string"),
+        "documents": ([], "doc_id bigint, doc_type string, source string, text string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    stats = core_queries.QUERIES["crawl_waves"](spark, str(tmp_path)).first()
+    assert (stats.fetched, stats.succeeded, stats.links, stats.waves, stats.stop_reason) == (6, 6, 5, 6, 0)
+
+
 def test_fetch_function_and_outcomes(spark):
     def fetcher(url, settings):
         if "slow" in url:
