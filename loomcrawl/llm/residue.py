@@ -9,6 +9,7 @@ whole batches of pages; nothing is cut off.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +30,20 @@ WINDOW = 24
 WINDOW_NATS = 9.0
 LINE_NATS = np.array([0.25, 0.5, 0.25])
 COVERAGE = 0.6
+#: What a template leaves in the middle of a sentence, where the mean of a line hides it.
+MARK = re.compile(
+    r"\{\{[^{}]{0,80}\}\}|[$#]\{[^{}]{1,80}\}|%%\s?[\w.]{1,60}\s?%%|<%=?[^<>%]{1,80}%>|@@\s?[\w.]{1,60}\s?@@|\[\[\s?[a-z][a-z0-9_.]*\s?\]\]|\{[a-z][a-z0-9]*(?:[_.][a-z0-9]+)*\}"
+    r"|[\[<](?:INSERT|ADD|YOUR|Insert|Your)\b[^\[\]<>]{0,80}[\]>]|\[(?:[A-Z]+ )*(?:NAME|NUMBER|ADDRESS|CITY|TOWN|STREET|PHONE|DATE|EMAIL|TITLE|TEXT|DESCRIPTION|LINK|IMAGE)(?: [A-Z0-9]+)*\]"
+    r"|\[object Object\]|\bInvalid Date\b"
+    r"|\b(?:[Bb]y|[Ff]or|[Ff]rom|[Hh]ello|[Dd]ear|[Ww]elcome) (?:undefined|NaN|null)\b(?! (?:and void|values?|hypothes[ie]s|pointers?|variables?|objects?|results?))"
+)
+#: Words around a mark with which a text talks about marks.
+TALK = re.compile(
+    r"\b(?:placeholders?|templates?|templating|variables?|syntax|mail.merge|JavaScript|swapped for|substitut\w+|(?:field|mark|token|tag|code|string|symbol|expression)s? (?:such as|like|named|called|of the form)|Platzhalter\w*|Vorlagen?|Variablen?|gabarits?|plantillas?|marcador(?:es)?)\b", re.I
+)
+#: Characters on each side of a mark in which such words count.
+AROUND = 80
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 
 @lru_cache(maxsize=1)
@@ -114,10 +129,36 @@ def line_hits(lines: list[str]) -> np.ndarray:
     return _hits(lines, *score_lines(lines))
 
 
+def inner_residue(lines: list[str]) -> np.ndarray:
+    """For each squeezed line whether a part of it was left by a template.
+
+    A part is a mark that the text around it does not talk about, or one of several
+    sentences that by itself reads as residue, again without such talk around it.
+    """
+    out = np.zeros(len(lines), bool)
+    parts, owner = [], []
+    for k, line in enumerate(lines):
+        for m in MARK.finditer(line):
+            if not TALK.search(line[max(0, m.start() - AROUND) : m.start()] + " \0 " + line[m.end() : m.end() + AROUND]):
+                out[k] = True
+                break
+        else:
+            pieces = _SENTENCE.split(line)
+            if len(pieces) > 1:
+                parts += pieces
+                owner += [k] * len(pieces)
+    window, rate = score_lines(parts)
+    hit = _hits(parts, window, rate)[:, 0] & (rate.argmax(axis=1) == 0) if parts else np.zeros(0, bool)
+    # A short sentence in a paragraph is too little to go by.
+    out[[k for k, h, x in zip(owner, hit, parts) if h and len(x) > WINDOW and not TALK.search(lines[k])]] = True
+    return out
+
+
 def judge_pages(pages: list[tuple[str | None, str | None]]) -> list[tuple[bool, bool, bool]]:
     """(residue, filler, notice) of each (title, main_text).
 
-    Residue: a line of the title or text that reads as left by a template. Filler and
+    Residue: a line of the title or text that reads as left by a template, or has a part
+    that does, however long the line is. Filler and
     notice: such lines cover at least ``COVERAGE`` of the text without furniture and title.
     """
     lines, owner, kind = [], [], []
@@ -142,11 +183,13 @@ def judge_pages(pages: list[tuple[str | None, str | None]]) -> list[tuple[bool,
     hit = _hits(lines, window, rate)
     best = rate.argmax(axis=1) if len(lines) else np.zeros(0, int)
     owner, kind = np.array(owner, int), np.array(kind, int)
+    # Lines of filler and notices count as such, whatever marks they quote.
+    left = inner_residue(lines) & ~(hit & (np.arange(3) == best[:, None]))[:, 1:].any(axis=1) if len(lines) else np.zeros(0, bool)
     out = [(False, False, False)] * len(pages)
     model = body.weights()
-    for k in np.unique(owner[hit.any(axis=1)]):
+    for k in np.unique(owner[hit.any(axis=1) | left]):
         at = np.flatnonzero(owner == k)
-        residue = bool((hit[at, 0] & (best[at] == 0)).any())
+        residue = bool((hit[at, 0] & (best[at] == 0)).any() or left[at].any())
         titles = {lines[i] for i in at if kind[i] == 0}
         own = filler = notice = 0
         for i in at:

@@ -32,6 +32,20 @@ def test_pages(title, text, want):
     assert want is None or got == want
 
 
+@pytest.mark.parametrize("mark", ["{{ company_name }}", "{{x}}", "${user.name}", "%% city %%", "[INSERT COMPANY NAME]", "[[order_id]]", "<%= name %>", "@@name@@", "{city}", "[object Object]", "undefined"])
+@pytest.mark.parametrize("times", [0, 1])
+def test_part_of_a_paragraph(mark, times):
+    line = f"The bridge near the village was painted by {mark} before the first frost, although the rain never stopped at all." + (" " + PROSE) * times
+    assert 100 <= len(line) <= 500
+    assert residue.judge_pages([("A page", line)]) == [(True, False, False)]
+    assert residue.judge_pages([("A page", line.replace(mark, "sailors"))]) == [(False, False, False)]
+
+
+def test_instruction_and_talk_in_a_paragraph():
+    assert residue.judge_pages([("A page", f"{PROSE} Click to edit this paragraph and tell visitors about your shop. {PROSE}")]) == [(True, False, False)]
+    assert residue.judge_pages([("A page", f"{PROSE} In the letter tool a field such as {{{{first_name}}}} is swapped for the reader's name. {PROSE}")]) == [(False, False, False)]
+
+
 def test_windows_do_not_leave_their_line():
     alone, _ = residue.score_lines(["Error 404: Page not found"])
     among, _ = residue.score_lines(["The cat sleeps all day", "Error 404: Page not found", "It rained.", ""])
