@@ -207,6 +207,16 @@ def judge_pages(pages: list[tuple[str | None, str | None]]) -> list[tuple[bool,
     return out
 
 
+def mostly_residue(text: str) -> bool:
+    """Whether lines left by a template are more than half of a text without furniture."""
+    lines = [x for x in map(body.squeeze, text.split("\n")) if x]
+    window, rate = score_lines(lines)
+    left = _hits(lines, window, rate)[:, 0] & (rate.argmax(axis=1) == 0) if lines else []
+    model = body.weights()
+    own = sum(len(x) for x, bad in zip(lines, left) if bad or model.line_content(x) >= 0)
+    return 2 * sum(len(x) for x, bad in zip(lines, left) if bad) > own
+
+
 def residue_pages(pages: DataFrame) -> DataFrame:
     """(page_id, is_residue, is_filler, is_notice) of the pages to leave out.
 

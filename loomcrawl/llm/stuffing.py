@@ -105,7 +105,7 @@ def page_measures(pages: DataFrame) -> DataFrame:
                 if found:
                     # No page of whole sentences without repeated pairs can be spam, whatever the ranges.
                     doubtful = found[-1] < MOST_SENTENCES or found[4] > LEAST_STUFFED
-                    rows.append((page_id, *found, doubtful and any(residue.judge_pages([(None, text)])[0])))
+                    rows.append((page_id, *found, doubtful and (any(residue.judge_pages([(None, text)])[0][1:]) or residue.mostly_residue(text))))
             yield pd.DataFrame(rows, columns=["page_id", "lang", "n_words", *MEASURES, "is_residue"])
 
     return unique.mapInPandas(run, SCHEMA)
@@ -132,8 +132,8 @@ def spam_pages(pages: DataFrame) -> DataFrame:
     List: few function words, hardly a sentence, and either one word or pair far too
     frequent, or separators, or link texts in place of text. Stuffed: one word pair is
     more frequent than any prose of the language has it. Pages of fewer than
-    ``MIN_WORDS`` own words, without text, or with only filler or an error notice are
-    never among them.
+    ``MIN_WORDS`` own words, without text, with only filler or an error notice, or whose own
+    text is for the most part left by a template are never among them.
     """
     measures = materialize(page_measures(pages), "page-measures")
     ranged = measures.join(F.broadcast(language_ranges(measures)), "lang")  # one row per language

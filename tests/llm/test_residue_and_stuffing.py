@@ -85,3 +85,11 @@ def test_spam_pages(shared):
     got = sorted(r.page_id for r in stuffing.spam_pages(df).collect())
     assert got == [100, 101, 102, 103, 104]
     assert stuffing.spam_pages(df.limit(0)).count() == 0
+
+
+def test_tag_list_with_one_placeholder_is_spam(shared):
+    tags = pages()[:40] + [(300, "{{tag}}\n" + next(t for k, t, _ in pages() if k == 100), [])]
+    schema = "page_id bigint, main_text string, outlinks array<struct<target_url:string,anchor_text:string>>"
+    df = shared.createDataFrame([(k, t, [("http://x.test/", a) for a in links]) for k, t, links in tags], schema)
+    assert residue.judge_pages([(None, tags[-1][1])])[0][0]
+    assert [r.page_id for r in stuffing.spam_pages(df).collect()] == [300]
