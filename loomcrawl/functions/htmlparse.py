@@ -35,7 +35,7 @@ _SECTION_TAGS = {"header": "HEADER", "footer": "FOOTER", "nav": "NAV", "aside":
 _SECTION_ROLES = {"banner": "HEADER", "navigation": "NAV", "complementary": "SIDEBAR", "contentinfo": "FOOTER", "main": "MAIN"}
 # The marks by which a page is judged to need a browser.
 EMPTY_BODY = 5000
-SPA_MARKER = r'(?i)<(div|app-root)\s+[^>]*\bid\s*=\s*"(root|app|main|__next)|<app-root\b|<ng-app\b|data-react'
+SPA_MARKER = r'(?i)<(div|app-root)\s+[^>]*\bid\s*=\s*"(root|app|main|__next)"|<app-root\b|<ng-app\b|data-react'
 NOSCRIPT_TEXT = r"(?is)<noscript[^>]*>[^<]{20,}"
 _SPACE = re.compile(r"[ \t\n\x0b\f\r\xa0]+")
 
@@ -203,6 +203,20 @@ def parse_html(url: Column, body: Column, content_type: Column) -> Column:
     return F.when(body.isNotNull(), run(url, body, content_type))
 
 
+#: Encodings of one byte a character, for which sizes and ASCII marks are those of ISO-8859-1.
+SINGLE_BYTE = r"(?i)charset\s*=\s*[\"']?(?:iso-8859-|latin-?1|windows-125|cp125|us-ascii)"
+
+
+def page_text(body: Column, content_type: Column) -> Column:
+    """A body as text by the charset of its content type, without leaving the JVM.
+
+    Bodies of other than single-byte encodings are read as UTF-8, each broken sequence as
+    one replacement character.
+    """
+    single = F.coalesce(content_type.rlike(SINGLE_BYTE), F.lit(False))
+    return F.when(single, F.decode(body, "ISO-8859-1")).otherwise(F.make_valid_utf8(body.cast("string")))
+
+
 def render_reason(status: Column, page: Column) -> Column:
     """Why a page needs a browser, NULL for none. Native throughout."""
     low = F.lower(page)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomcrawl.session import materialize
+
 
 def opic_round(state: DataFrame, visits: DataFrame, edges: DataFrame, seed_cash: float = 1.0) -> DataFrame:
     """One round of visits at once, as (url, cash, history).
@@ -22,11 +24,12 @@ def opic_round(state: DataFrame, visits: DataFrame, edges: DataFrame, seed_cash:
         F.coalesce("cash", F.when(F.col("visited"), F.lit(seed_cash)).otherwise(0.0)).alias("cash"),
         F.coalesce("history", F.lit(0.0)).alias("history"),
     )
-    outlinks = edges.where(F.col("source").isNotNull() & F.col("target").isNotNull())
-    degree = outlinks.groupBy("source").agg(F.count("*").alias("degree"))
-    # Shares are summed per (source, target) first, so a target of very many links is partial rows.
+    # One row per (source, target), written once: degree and gains read 8-byte counts, not links.
+    pairs = edges.where(F.col("source").isNotNull() & F.col("target").isNotNull()).groupBy("source", "target").agg(F.count("*").alias("n"))
+    pairs = materialize(pairs, "opic-pairs")
+    degree = pairs.groupBy("source").agg(F.sum("n").alias("degree"))
     spent = base.where("visited").select(F.col("url").alias("source"), "cash").join(degree, "source").select("source", (F.col("cash") / F.col("degree")).alias("share"))
-    gains = outlinks.join(spent, "source").groupBy(F.col("target").alias("url")).agg(F.sum("share").alias("gain"))
+    gains = pairs.join(spent, "source").groupBy(F.col("target").alias("url")).agg(F.sum(F.col("share") * F.col("n")).alias("gain"))
     merged = base.join(gains, "url", "full")
     kept = F.when(F.coalesce("visited", F.lit(False)), 0.0).otherwise(F.coalesce("cash", F.lit(0.0)))
     banked = F.coalesce("history", F.lit(0.0)) + F.when(F.coalesce("visited", F.lit(False)), F.col("cash")).otherwise(0.0)

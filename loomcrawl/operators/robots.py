@@ -45,12 +45,15 @@ def verdicts(probes: DataFrame, rules: DataFrame, agents: DataFrame, key: str =
     The agent's own group counts, else ``*``; the longest prefix wins, a tie allows.
     """
     asked = probes.select(key, "agent", "path").distinct()
-    own = agents.select(key, "agent").withColumn("own", F.lit(True))
+    own = agents.select(key, "agent").distinct().withColumn("own", F.lit(True))
     chosen = asked.join(own, [key, "agent"], "left").withColumn("group_agent", F.when(F.col("own"), F.col("agent")).otherwise("*")).drop("own")
-    named = rules.withColumnRenamed("agent", "group_agent")
-    met = chosen.join(named, [key, "group_agent"], "left").withColumn("hit", F.col("path").startswith(F.col("pattern")))
-    best = F.max(F.when(F.col("hit"), F.struct(F.length("pattern").alias("size"), (F.col("kind") == "allow").cast("int").alias("allow"))))
-    return met.groupBy(key, "agent", "path").agg(best.alias("best")).select(key, "agent", "path", F.when(F.col("best.allow") == 0, "DISALLOWED").otherwise("ALLOWED").alias("verdict"))
+    # The rules of one group are one row, bounded by the size of a robots file, so a probe is
+    # joined once however many rules its host has; AQE splits the probes of a hot host.
+    rule = F.struct(F.length("pattern").alias("size"), (F.col("kind") == "allow").alias("allow"), "pattern")
+    groups = rules.groupBy(key, F.col("agent").alias("group_agent")).agg(F.sort_array(F.collect_list(rule), asc=False).alias("rules"))
+    met = chosen.join(groups, [key, "group_agent"], "left")
+    first = F.try_element_at(F.filter("rules", lambda r: F.col("path").startswith(r["pattern"])), F.lit(1))  # longest first, allow before disallow
+    return met.select(key, "agent", "path", F.when(~first["allow"], "DISALLOWED").otherwise("ALLOWED").alias("verdict"))
 
 
 def cache_policy(status: Column, error: Column, previous: Column, previous_age_ms: Column) -> tuple[Column, Column]:

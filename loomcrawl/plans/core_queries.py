@@ -107,7 +107,12 @@ def url_canonicalize(spark, d):
     return targets(spark, d).withColumn("p", p).select("target_url", *[F.col(f"p.{c}").alias(c) for c in ("value", "host", "scheme", "path", "query", "port")])
 
 
-_RAW_URLS = ["HTTP://Example.COM/Path", "http://example.com:80/page", "https://example.com:443/page", "http://example.com:8080/page", "http://example.com", "http://example.com/a/./b/../c", "http://example.com/page#section", "http://example.com/page?a=1&b=2", "HTTP://Example.com:80/a/./b/../page#frag", "/just/a/path", "ftp://example.com/file", "mailto:foo@example.com", "http://example .com/page", "http://user@example.com/a//b/", "http://example.com/../x/..", "http://ex_ample.com/", "http://example.com/%7e", "http://example.com/%zz", "http://example.com/a|b", "http://example.com?q=", "http://example.com/a/b/..", "http://-a.example/", " http://example.com/é ", "http://example.com./x", "http://192.168.0.1/x", "http://a.1b/"]
+_SPELLINGS = [
+    ("HtTp", "Shop.Tern-Quay.Test"), ("https", "tern-quay.test:443"), ("http", "tern-quay.test:80"), ("http", "tern-quay.test:8443"), ("http", "reader@tern-quay.test"), ("ftp", "tern-quay.test"),
+    ("http", "tern quay.test"), ("http", "tern_quay.test"), ("http", "-tern.test"), ("http", "tern-quay.test."), ("http", "10.1.2.3"), ("http", "a.1b"), ("gopher", "x.test"),
+]
+_PATHS = ["", "/", "/Fish/./cod/../eel", "/tide#low", "/tide?day=3&hour=4", "/net//knots/", "/../up/..", "/%7etern", "/%zz", "/eel|cod", "?q=", "/net/knots/..", "/caf\u00e9 "]
+_RAW_URLS = [f"{scheme}://{host}{path}" for scheme, host in _SPELLINGS for path in _PATHS] + ["/tide/tables", "mailto:reader@tern-quay.test", "", "tern-quay.test/x"]
 _VALUES = "(VALUES " + ", ".join("('" + u.replace("'", "''") + "')" for u in _RAW_URLS) + ") v(raw)"
 
 
@@ -207,10 +212,16 @@ def simhash64(spark, d):
 
 
 def _fingerprints(spark, d):
-    return table(spark, d, "parsed_documents").select(F.col("simhash64").alias("fp"))
+    """Fingerprints of all pages, and for each page one more with two or three of its bits turned."""
+    p = table(spark, d, "parsed_documents").where(F.col("simhash64").isNotNull())
+    bit = lambda n: F.expr(f"shiftleft(1L, cast(pmod(page_id * {n}, 64) as int))")
+    flipped = F.col("simhash64").bitwiseXOR(bit(1).bitwiseOR(bit(7)).bitwiseOR(bit(11)))
+    return p.select(F.explode(F.array("simhash64", flipped)).alias("fp"))
 
 
-_FPS = "(SELECT DISTINCT simhash64 AS fp FROM parsed_documents WHERE simhash64 IS NOT NULL)"
+_BIT = "(1::UBIGINT << (page_id * {n} % 64)::UBIGINT)"
+_TURNED = f"xor(CASE WHEN simhash64 < 0 THEN (simhash64::HUGEINT + 18446744073709551616)::UBIGINT ELSE simhash64::UBIGINT END, {_BIT.format(n=1)} | {_BIT.format(n=7)} | {_BIT.format(n=11)})"
+_FPS = f"(SELECT DISTINCT fp FROM (SELECT simhash64 AS fp FROM parsed_documents WHERE simhash64 IS NOT NULL UNION ALL SELECT (CASE WHEN u >= 9223372036854775808::UBIGINT THEN u::HUGEINT - 18446744073709551616 ELSE u::HUGEINT END)::BIGINT FROM (SELECT {_TURNED} AS u FROM parsed_documents WHERE simhash64 IS NOT NULL)))"
 
 
 def _pair_sql(k: int) -> str:
@@ -239,7 +250,7 @@ def exact_dup_groups(spark, d):
 
 @query("distinct_fingerprints", "SELECT count(DISTINCT simhash64) AS n FROM parsed_documents")
 def distinct_fingerprints(spark, d):
-    return _fingerprints(spark, d).agg(F.count_distinct("fp").alias("n"))
+    return table(spark, d, "parsed_documents").select(F.col("simhash64").alias("fp")).agg(F.count_distinct("fp").alias("n"))
 
 
 # --- Pages ---------------------------------------------------------------------
@@ -271,11 +282,21 @@ def page_main_text(spark, d):
     return parsed(spark, d).select("fetch_id", "doc.main_text", hashing.hex_short(F.col("doc.simhash64")).alias("simhash64"))
 
 
-@query("page_render_reason")
+_ESCAPED = r"""regexp_replace(regexp_replace(replace(replace(replace(body::VARCHAR, '\x22', '"'), '\x27', chr(39)), '\x5C', '/'), '\\x0[9A-D]', ' ', 'g'), '\\x[0-9A-F]{2}', '?', 'g')"""
+_PAGE_TEXT = f"""(SELECT fetch_id, http_status, CASE WHEN regexp_matches(coalesce(content_type, ''), '(?i)charset\\s*=\\s*["'']?(?:iso-8859-|latin-?1|windows-125|cp125|us-ascii)') THEN {_ESCAPED} ELSE decode(body) END AS page
+  FROM (SELECT DISTINCT ON (fetch_id) * FROM fetch_results))"""
+
+
+@query(
+    "page_render_reason",
+    f"""SELECT fetch_id, CASE WHEN page IS NULL OR http_status NOT BETWEEN 200 AND 299 THEN NULL WHEN size >= 0 AND size < {htmlparse.EMPTY_BODY} THEN 'EMPTY_BODY'
+  WHEN regexp_matches(page, '{htmlparse.SPA_MARKER}') THEN 'SPA_FRAMEWORK_DETECTED' WHEN regexp_matches(page, '{htmlparse.NOSCRIPT_TEXT}') THEN 'CLASSIFIER_OTHER' END AS reason
+FROM (SELECT *, CASE WHEN start > 0 AND after > 0 AND tail > 0 AND length(low) - tail - 5 >= after THEN length(low) - tail - 5 - after ELSE -1 END AS size
+  FROM (SELECT *, CASE WHEN start > 0 AND instr(low[start:], '>') > 0 THEN start - 1 + instr(low[start:], '>') ELSE 0 END AS after FROM (SELECT fetch_id, http_status, page, lower(page) AS low, instr(lower(page), '<body') AS start, instr(reverse(lower(page)), '>ydob/<') AS tail FROM {_PAGE_TEXT})))""",
+)
 def page_render_reason(spark, d):
-    f = table(spark, d, "fetch_results").select("fetch_id", "http_status", "body").dropDuplicates(["fetch_id"])
-    page = F.decode(F.col("body"), "ISO-8859-1")
-    return f.select("fetch_id", htmlparse.render_reason(F.col("http_status"), page).alias("reason"))
+    f = table(spark, d, "fetch_results").select("fetch_id", "http_status", htmlparse.page_text(F.col("body"), F.col("content_type")).alias("page"))
+    return f.select("fetch_id", htmlparse.render_reason(F.col("http_status"), F.col("page")).alias("reason")).dropDuplicates(["fetch_id"])
 
 
 # --- Links ---------------------------------------------------------------------
@@ -432,14 +453,15 @@ def recrawl_overdue(spark, d):
     return _recrawl(spark, d).where(F.col("next_ms") <= _DUE_MS).agg(F.count("*").alias("n_overdue"))
 
 
-@query(
-    "politeness_grants",
-    f"""WITH g AS (SELECT host, list_reduce(list_prepend({{'clock': NULL::BIGINT, 't': 0::BIGINT, 'id': 0::BIGINT, 'out': []::STRUCT(id BIGINT, granted BOOLEAN, wait BIGINT)[]}},
+def _grants(rows: str) -> str:
+    return f"""WITH g AS (SELECT host, list_reduce(list_prepend({{'clock': NULL::BIGINT, 't': 0::BIGINT, 'id': 0::BIGINT, 'out': []::STRUCT(id BIGINT, granted BOOLEAN, wait BIGINT)[]}},
   list({{'clock': NULL::BIGINT, 't': at_ms, 'id': fetch_id, 'out': []::STRUCT(id BIGINT, granted BOOLEAN, wait BIGINT)[]}} ORDER BY at_ms, fetch_id)),
   lambda a, b: CASE WHEN a.clock IS NULL OR a.clock <= b.t THEN {{'clock': b.t + 60000, 't': b.t, 'id': b.id, 'out': list_append(a.out, {{'id': b.id, 'granted': true, 'wait': 0::BIGINT}})}}
-    ELSE {{'clock': a.clock, 't': b.t, 'id': b.id, 'out': list_append(a.out, {{'id': b.id, 'granted': false, 'wait': a.clock - b.t}})}} END) AS s FROM {_FETCH} WHERE host IS NOT NULL GROUP BY host)
-SELECT host, o.id AS seq, o.granted AS granted, o.wait AS wait_ms FROM g, unnest(s.out) u(o)""",
-)
+    ELSE {{'clock': a.clock, 't': b.t, 'id': b.id, 'out': list_append(a.out, {{'id': b.id, 'granted': false, 'wait': a.clock - b.t}})}} END) AS s FROM {rows} WHERE host IS NOT NULL GROUP BY host)
+SELECT host, o.id AS seq, o.granted AS granted, o.wait AS wait_ms FROM g, unnest(s.out) u(o)"""
+
+
+@query("politeness_grants", _grants(_FETCH))
 def politeness_grants(spark, d):
     return folds.politeness_grants(fetches(spark, d), 60_000)
 
@@ -482,7 +504,19 @@ def robots_verdicts(spark, d):
 _ANSWERS = [(200, None, None, None), (404, None, None, None), (503, None, None, None), (0, "timeout", None, None), (500, None, "FETCHED", 25 * 3_600_000), (500, None, "FETCHED", 8 * 86_400_000), (500, None, "STALE_SERVE", 3_600_000), (0, "refused", "FETCHED", 3_600_000), (301, None, None, None)]
 
 
-@query("robots_cache_policy")
+def _literal(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+
+_POLICY = "(VALUES " + ", ".join("(" + ", ".join(map(_literal, a)) + ")" for a in _ANSWERS) + ") v(status, error, previous, age_ms)"
+
+
+@query(
+    "robots_cache_policy",
+    f"""SELECT status, error, previous, age_ms::BIGINT AS age_ms, source, CASE WHEN source IN ('FETCHED', 'ALLOW_ALL_4XX') THEN 86400000 ELSE 3600000 END::BIGINT AS ttl_ms FROM (SELECT *, CASE
+  WHEN (error IS NOT NULL OR status >= 500) AND coalesce(previous = 'FETCHED' AND age_ms < 604800000, false) THEN 'STALE_SERVE' WHEN error IS NOT NULL OR status >= 500 THEN 'DISALLOW_ALL_5XX'
+  WHEN status BETWEEN 200 AND 299 THEN 'FETCHED' WHEN status BETWEEN 400 AND 499 THEN 'ALLOW_ALL_4XX' ELSE 'DISALLOW_ALL_5XX' END AS source FROM {_POLICY})""",
+)
 def robots_cache_policy(spark, d):
     df = spark.createDataFrame(_ANSWERS, "status int, error string, previous string, age_ms bigint")
     source, ttl = robots.cache_policy(F.col("status"), F.col("error"), F.col("previous"), F.col("age_ms"))
@@ -534,7 +568,11 @@ def ring_owner(spark, d):
     return hosts(spark, d).select("host", routing.ring_owner(F.col("host"), AGENTS, VNODES).alias("agent"))
 
 
-@query("ring_owners3")
+@query(
+    "ring_owners3",
+    f"""WITH r AS {_ring(AGENTS)}, k AS (SELECT host, {signed('h')} AS k FROM {mixed(_HOSTS, 'host', 'host')}), n AS (SELECT host, agent, min(CASE WHEN position >= k THEN 0 ELSE 1 END * 100000::BIGINT + place) AS at
+  FROM k, (SELECT *, row_number() OVER (ORDER BY position) AS place FROM r) GROUP BY host, agent) SELECT host, list(agent ORDER BY at)[1:3] AS agents FROM n GROUP BY host""",
+)
 def ring_owners3(spark, d):
     return hosts(spark, d).select("host", routing.ring_owners(F.col("host"), AGENTS, VNODES, 3).alias("agents"))
 
@@ -630,7 +668,12 @@ def warc_records(spark, d):
     return f.select("fetch_id", F.octet_length("body").cast("bigint").alias("payload_length"), archive.sha1_digest(F.col("body")).alias("digest"), archive.iso_instant(F.col("fetched_at")).alias("warc_date"))
 
 
-@query("warc_bytes")
+_RECORD = f"""encode('WARC/1.1' || crlf || 'WARC-Type: response' || crlf || 'WARC-Target-URI: ' || value || crlf || 'WARC-Date: ' || {_duck_instant('fetched_at')} || crlf
+  || 'WARC-Record-ID: <urn:uuid:00000000-0000-4000-8000-' || lpad(fetch_id::VARCHAR, 12, '0') || '>' || crlf || 'Content-Type: application/http; msgtype=response' || crlf || 'Content-Length: ' || octet_length(body) || crlf
+  || 'WARC-Payload-Digest: sha1:' || sha1(body) || crlf || 'WARC-Block-Digest: sha1:' || sha1(body) || crlf || crlf) || body || encode(crlf || crlf)"""
+
+
+@query("warc_bytes", f"SELECT fetch_id, sha256(record) AS sha256, octet_length(record)::INTEGER AS size FROM (SELECT DISTINCT ON (fetch_id) fetch_id, {_RECORD} AS record FROM (SELECT *, chr(13) || chr(10) AS crlf FROM {url_table('fetch_results', 'final_url', 'fetch_id, body, fetched_at')} WHERE body IS NOT NULL))")
 def warc_bytes(spark, d):
     f = table(spark, d, "fetch_results").where(F.col("body").isNotNull()).select("fetch_id", "final_url", "body", "fetched_at").dropDuplicates(["fetch_id"])
     record_id = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col("fetch_id").cast("string"), 12, "0"))
@@ -651,9 +694,14 @@ def warc_roll(spark, d):
     return folds.roll_files(r, 20_000)
 
 
-@query("redirects")
+@query(
+    "redirects",
+    """WITH RECURSIVE e AS (SELECT url AS source, min(final_url) AS target FROM fetch_results WHERE url <> final_url GROUP BY url),
+w AS (SELECT DISTINCT url, url AS place, 0 AS hops FROM fetch_results WHERE url IS NOT NULL UNION ALL SELECT w.url, e.target, hops + 1 FROM w JOIN e ON w.place = e.source WHERE hops <= 5)
+SELECT url, CASE WHEN max(hops) <= 5 THEN arg_max(place, hops) END AS final_url, max(hops)::INTEGER AS hops FROM w GROUP BY url""",
+)
 def redirects(spark, d):
-    f = table(spark, d, "fetch_results").where((F.col("url") != F.col("final_url")) & F.col("final_url").isNotNull()).select(F.col("url").alias("source"), F.col("final_url").alias("target")).dropDuplicates(["source"])
+    f = table(spark, d, "fetch_results").where(F.col("url") != F.col("final_url")).groupBy(F.col("url").alias("source")).agg(F.min("final_url").alias("target"))
     return archive.resolve_redirects(table(spark, d, "fetch_results").select("url").distinct(), f)
 
 
@@ -676,9 +724,12 @@ def audit_chain(spark, d):
     return folds.audit_chain(_audit(spark, d)).groupBy("log").agg(F.count("*").alias("n_events"), F.max_by("hash", "seq").alias("last_hash"))
 
 
-@query("audit_tamper", "SELECT DISTINCT user_id::VARCHAR AS log, -1::BIGINT AS index FROM events")
+@query("audit_tamper", "SELECT log, coalesce(min(k) FILTER (WHERE event_id % 197 = 0), -1)::BIGINT AS index FROM (SELECT user_id::VARCHAR AS log, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events) GROUP BY log")
 def audit_tamper(spark, d):
-    return folds.first_tampered(folds.audit_chain(_audit(spark, d)))
+    """Chains in which the content of some events was changed afterwards."""
+    chain = folds.audit_chain(_audit(spark, d))
+    changed = F.when(F.col("seq") % 197 == 0, F.sha2("digest", 256)).otherwise(F.col("digest"))
+    return folds.first_tampered(chain.withColumn("digest", changed))
 
 
 @query("audit_tail", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 50")
@@ -748,7 +799,7 @@ def stream_new_urls(spark, d):
     return keyed.run_to_files(keyed.new_urls(arriving, "target_url"), "new-urls")
 
 
-@query("stream_politeness")
+@query("stream_politeness", _grants(f"(SELECT fetch_id, host, epoch_us(fetched_at) // 1000 AS at_ms FROM {_FETCH_URLS})"))
 def stream_politeness(spark, d):
     schema = T.StructType([T.StructField("fetch_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("fetched_at", T.TimestampType())])
     claims = parquet_stream(spark, f"{d}/fetch_results.parquet", schema, 8).select(F.col("fetch_id").alias("seq"), F.unix_millis("fetched_at").alias("at_ms"), url.present(url.url_parts(F.col("url"))["host"]).alias("host"))

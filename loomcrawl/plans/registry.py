@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import importlib.util
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +13,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _llm():
-    """The module of the llm queries, or None where that package was left out."""
-    if importlib.util.find_spec("loomcrawl.llm") is None or importlib.util.find_spec("loomcrawl.llm.queries") is None:
+    """The module of the llm queries, or None where that package cannot be imported."""
+    try:
+        return importlib.import_module("loomcrawl.llm.queries")
+    except ImportError:
         return None
-    return importlib.import_module("loomcrawl.llm.queries")
 
 
 def all_queries() -> dict[str, Query]:

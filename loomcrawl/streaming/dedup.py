@@ -1,20 +1,28 @@
 """Exactly one copy of each message that was delivered at least once (problem 6).
 
-A stateful stream keeps the identifiers it has seen in the keyed state store. An
-identifier holds its event time, so the watermark decides alike about the arrival of
-a copy and the expiry of the state: while a copy can still arrive on time its
-identifier is in the store, and a copy that arrives after that is late. Output goes
-to a file sink whose commit log and the query's checkpoint make state and output
-advance together. What the stream did not answer itself, the late-arrival lookup
-does: identifiers that are not in the stream's durable output get their one copy
-there.
+A stateful stream decides on arrival. For every identifier the keyed state store holds
+the delivery that was kept and its event time; a delivery of an identifier in the store
+is a copy, the first delivery of any other identifier is kept and put out at once. When
+the event-time watermark has passed an identifier by ``delay`` it is expired. An
+arrival behind the watermark whose identifier is not in the store may be a copy of an
+expired one: the stream calls it late, and only late arrivals are looked up, by key, in
+the stream's durable output. State, source offsets and the output's commit log belong
+to one checkpoint, so they advance together, and a folder that is given again goes on
+where the last call ended.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomcrawl.session import fresh_path
 
@@ -26,7 +34,8 @@ BATCH_SCHEMA = T.StructType(
         T.StructField("emitted_at", T.TimestampType()),
     ]
 )
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DELAY_MS = 7 * 86_400_000
+ANSWERS = "message string, verdict string, delivery_id bigint"
 
 
 def message_columns() -> list[Column]:
@@ -51,58 +60,115 @@ def parquet_stream(spark: SparkSession, source: str, schema: T.StructType, files
     return reader.parquet(source)
 
 
-def stream_first_copies(spark: SparkSession, source: str, delay: str = "7 days", files_per_trigger: int = 8) -> DataFrame:
-    """Run the stateful stream over ``source`` and read what it emitted.
+#: Key of the rows that only move the watermark; no message is empty.
+_TICK = ""
+_ROW = "message string, sent_ms bigint, delivery_id bigint, clock timestamp"
+
+
+def _first_of_batch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least delivery of every message of an Arrow batch, and one row with the batch's newest event time.
 
-    One row (message, delivery_id) for each identifier whose event time the watermark
-    has passed. Identifiers without event time are not given to the stream, and those
-    within ``delay`` of the newest event stay in its state: both are for the lookup.
+    A message that was delivered a very large number of times is one row a batch in the
+    shuffle. Only the extra row has a clock: Spark drops rows whose event-time column is
+    behind the watermark, and late arrivals are to be answered, not dropped.
     """
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(setting, None)
-    spark.conf.set(setting, ROCKSDB)
-    out, log = fresh_path(spark, "first-copies"), fresh_path(spark, "first-copies-log")
-    try:
-        arrivals = (
-            parquet_stream(spark, source, BATCH_SCHEMA, files_per_trigger)
-            .where(F.col("emitted_at").isNotNull())
-            .select(*message_columns(), "delivery_id")
-            .withWatermark("sent_at", delay)
-        )
-        firsts = arrivals.groupBy("message", "sent_at").agg(F.min("delivery_id").alias("delivery_id"))
-        query = firsts.select("message", "delivery_id").writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start()
+    clock = pa.timestamp("us", "UTC")
+    schema = pa.schema([("message", pa.string()), ("sent_ms", pa.int64()), ("delivery_id", pa.int64()), ("clock", clock)])
+    for frame in frames:
+        least = pa.Table.from_batches([frame]).group_by(["message", "sent_ms"]).aggregate([("delivery_id", "min")])
+        n = least.num_rows
+        yield pa.record_batch([least["message"].combine_chunks(), least["sent_ms"].combine_chunks(), least["delivery_id_min"].combine_chunks(), pa.nulls(n, clock)], schema=schema)
+        newest = pa.compute.max(frame["sent_ms"]).as_py()
+        if newest is not None:
+            yield pa.record_batch([pa.array([_TICK]), pa.array([newest]), pa.array([0], pa.int64()), pa.array([newest * 1000], pa.int64()).cast(clock)], schema=schema)
+
+
+def _answer(delay_ms: int):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        least, sent = None, None
+        for frame in frames:
+            one = int(frame["delivery_id"].min())
+            least = one if least is None else min(least, one)
+            sent = frame["sent_ms"].iloc[0]
+        if key[0] == _TICK:
+            return
+        if state.exists:
+            (kept,) = state.get
+            if least < kept:  # files came out of order: the smaller delivery takes the place of the other
+                state.update((least,))
+                yield pd.DataFrame({"message": [key[0]] * 2, "verdict": ["kept", "withdrawn"], "delivery_id": [least, kept]})
+            return
+        if pd.isna(sent) or sent < state.getCurrentWatermarkMs():
+            yield pd.DataFrame({"message": [key[0]], "verdict": ["late"], "delivery_id": [least]})
+            return
+        state.update((least,))
+        state.setTimeoutTimestamp(int(sent) + delay_ms)
+        yield pd.DataFrame({"message": [key[0]], "verdict": ["kept"], "delivery_id": [least]})
+
+    return run
+
+
+@dataclass
+class DeliveryLog:
+    """The stream's home in the shared folder: checkpoint (offsets, state) and durable answers.
+
+    ``folder`` outlives the call: a later :meth:`receive` with the same folder reads only
+    files that are new and knows the identifiers of the earlier ones.
+    """
+
+    spark: SparkSession
+    folder: str
+    delay_ms: int = DELAY_MS
+    files_per_trigger: int = 8
+
+    def receive(self, source: str) -> DeliveryLog:
+        """Take in all files of ``source`` that no earlier call has read, and stop.
+
+        Event times are state, not a filter: deliveries without one, or behind the
+        watermark and not in the state, are put out as late.
+        """
+        arrivals = parquet_stream(self.spark, source, BATCH_SCHEMA, self.files_per_trigger).where(F.col("delivery_id").isNotNull()).select(*message_columns(), "delivery_id")
+        slim = arrivals.select("message", F.unix_millis("sent_at").alias("sent_ms"), "delivery_id")
+        fewer = slim.mapInArrow(_first_of_batch, _ROW).withWatermark("clock", f"{self.delay_ms} milliseconds")
+        answers = fewer.groupBy("message").applyInPandasWithState(_answer(self.delay_ms), ANSWERS, "kept bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        query = answers.writeStream.format("parquet").outputMode("append").option("path", f"{self.folder}/answers").option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
-    finally:
-        if old is None:
-            spark.conf.unset(setting)
-        else:
-            spark.conf.set(setting, old)
-    return spark.read.schema("message string, delivery_id bigint").parquet(out)
+        return self
+
+    def answers(self) -> DataFrame:
+        """(message, verdict, delivery_id) of all committed micro-batches."""
+        return self.spark.read.schema(ANSWERS).parquet(f"{self.folder}/answers")
 
+    def kept(self) -> DataFrame:
+        """(message, delivery_id): the one kept delivery of every message.
 
-def received_deliveries(spark: SparkSession, source: str) -> DataFrame:
-    return spark.read.schema(BATCH_SCHEMA).parquet(source).select(*message_columns(), "delivery_id")
+        Late arrivals alone are looked up: those whose message was put out before are
+        copies, of the others the smallest is kept.
+        """
+        answers = self.answers()
+        put_out, withdrawn = answers.where("verdict = 'kept'"), answers.where("verdict = 'withdrawn'")
+        on_time = put_out.join(withdrawn, ["message", "delivery_id"], "left_anti").select("message", "delivery_id")
+        late = answers.where("verdict = 'late'").groupBy("message").agg(F.min("delivery_id").alias("delivery_id"))
+        return on_time.unionByName(late.join(put_out.select("message"), "message", "left_anti"))
 
 
-def kept_deliveries(spark: SparkSession, source: str, delay: str = "7 days", files_per_trigger: int = 8) -> DataFrame:
+def kept_deliveries(spark: SparkSession, source: str, folder: str | None = None, delay_ms: int = DELAY_MS, files_per_trigger: int = 8) -> DataFrame:
     """The one copy of each batch that is kept, as (message, delivery_id).
 
-    The stream answers for every identifier it emitted. The others - late against the
-    watermark, still open in the state, or without event time - are looked up in the
-    stream's durable output, and those that never came out get their first copy. The
-    received identifiers are pre-aggregated before that lookup, so a message that was
-    delivered a very large number of times is one row in it.
+    Without ``folder`` the stream starts from nothing. Deliveries without an id are left
+    out; an empty table gives no rows.
     """
-    emitted = stream_first_copies(spark, source, delay, files_per_trigger)
-    firsts = received_deliveries(spark, source).groupBy("message").agg(F.min("delivery_id").alias("delivery_id"))
-    return emitted.unionByName(firsts.join(emitted, "message", "left_anti"))
+    return DeliveryLog(spark, folder or fresh_path(spark, "deliveries"), delay_ms, files_per_trigger).receive(source).kept()
 
 
-def repeated_deliveries(spark: SparkSession, source: str, delay: str = "7 days", files_per_trigger: int = 8) -> DataFrame:
+def repeated_deliveries(spark: SparkSession, source: str, folder: str | None = None, delay_ms: int = DELAY_MS, files_per_trigger: int = 8) -> DataFrame:
     """Every delivery but the kept copy of its batch: (delivery_id), each once.
 
-    A row that repeats a kept delivery in full is the same delivery. An empty table
-    gives no rows.
+    A row that repeats a kept delivery in full is the same delivery.
     """
-    kept = kept_deliveries(spark, source, delay, files_per_trigger).select("delivery_id")
-    return received_deliveries(spark, source).select("delivery_id").distinct().join(kept, "delivery_id", "left_anti")
+    kept = kept_deliveries(spark, source, folder, delay_ms, files_per_trigger).select("delivery_id")
+    received = spark.read.schema(BATCH_SCHEMA).parquet(source).select("delivery_id").where(F.col("delivery_id").isNotNull())
+    return received.distinct().join(kept, "delivery_id", "left_anti")

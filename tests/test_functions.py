@@ -149,7 +149,7 @@ def test_html_parts():
 
 def test_render_reasons(spark):
     long_text = "x" * 6000
-    pages = [(200, f"<body>{long_text}</body>", None), (200, "<body>short</body>", "EMPTY_BODY"), (200, f'<body><div id="root">{long_text}</div></body>', "SPA_FRAMEWORK_DETECTED"), (200, f"<body><noscript>please switch on scripts now</noscript>{long_text}</body>", "CLASSIFIER_OTHER"), (404, "<body></body>", None), (200, None, None), (200, "no body here", None)]
+    pages = [(200, f"<body>{long_text}</body>", None), (200, "<body>short</body>", "EMPTY_BODY"), (200, f'<body><div id="root">{long_text}</div></body>', "SPA_FRAMEWORK_DETECTED"), (200, f"<body><noscript>please switch on scripts now</noscript>{long_text}</body>", "CLASSIFIER_OTHER"), (200, f'<body><div id="mainframe">{long_text}</div></body>', None), (200, f'<body><div id="rootless">{long_text}</div></body>', None), (200, f'<body><app-root>{long_text}</app-root></body>', "SPA_FRAMEWORK_DETECTED"), (404, "<body></body>", None), (200, None, None), (200, "no body here", None)]
     df = spark.createDataFrame([(i, s, p) for i, (s, p, _) in enumerate(pages)], "i int, s int, p string")
     got = [r.r for r in df.select("i", htmlparse.render_reason(F.col("s"), F.col("p")).alias("r")).orderBy("i").collect()]
     assert got == [w for _, _, w in pages]
@@ -161,3 +161,10 @@ def test_codecs(spark):
     assert line == 'anchor="click here" q="Spaces and \\"quotes\\"" back=a\\b empty= none= flag=true'
     when = spark.createDataFrame([("Sun, 06 Nov 1994 08:49:37 GMT",), ("nonsense",), (None,)], "t string").select(F.date_format(codec.http_date(F.col("t")), "yyyyMMddHHmmss").alias("w")).collect()
     assert [r.w for r in when] == ["19941106084937", None, None]
+
+
+def test_page_text_by_charset(spark):
+    rows = [("é".encode("latin-1"), "text/html; charset=ISO-8859-1", "é"), ("é".encode(), "text/html; charset=utf-8", "é"), ("é".encode(), None, "é"), (b"a\xffb", None, "a\ufffdb"), (None, "text/html", None)]
+    df = spark.createDataFrame([(i, b, t) for i, (b, t, _) in enumerate(rows)], "i int, b binary, t string")
+    got = [r.x for r in df.select("i", htmlparse.page_text(F.col("b"), F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == [w for *_, w in rows]
