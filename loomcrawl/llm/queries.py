@@ -22,9 +22,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    batches, links = table(spark, d, "forwarding_batches"), table(spark, d, "extracted_links")
-    rates = [seen_keys.error_rate(batches, links, bits) for bits in (8, 16, 32)]
-    return rates[0].unionByName(rates[1]).unionByName(rates[2])
+    return seen_keys.error_rate(table(spark, d, "forwarding_batches"), table(spark, d, "extracted_links"))
+
+
+def p2_error_rate_full(spark: SparkSession, d: str) -> DataFrame:
+    """The rate at the width that p2_found uses."""
+    return seen_keys.error_rate(table(spark, d, "forwarding_batches"), table(spark, d, "extracted_links"), widths=(seen_keys.BITS,))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -72,6 +75,7 @@ QUERIES = {
     "p1_clean_pages": p1_clean_pages,
     "p2_found": p2_found,
     "p2_error_rate": p2_error_rate,
+    "p2_error_rate_full": p2_error_rate_full,
     "p4_found": p4_found,
     "p4_bodies": p4_bodies,
     "p5_found": p5_found,
@@ -105,6 +109,7 @@ SELECT delivery_id, entry_no FROM r WHERE k > 1 OR key IN (SELECT key FROM h)"""
 
 SQL = {
     "p2_found": _P2,
+    "p2_error_rate_full": f"SELECT 32 AS bits, count(*) AS n_entries, 0::BIGINT AS n_wrong, 0.0::DOUBLE AS rate FROM {url_table(_ENTRIES, 'raw', 'delivery_id, entry_no')} WHERE value IS NOT NULL",
     "p1_found": f"WITH {_P1}, f AS (SELECT site, form FROM l WHERE form <> '' GROUP BY site, form HAVING count(DISTINCT page_id) >= 6) SELECT page_id, line_no FROM l JOIN f USING (site, form)",
     "p9_found": _P9,
     "p9_leak_report": f"SELECT item_id, count(*) AS n_docs FROM ({_P9}) GROUP BY item_id",

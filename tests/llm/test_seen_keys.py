@@ -17,6 +17,8 @@ def test_sealed_keys_hold_every_key(n):
     for bits in (8, 16, 32):
         sealed = seen_keys.SealedKeys(a, b, bits)
         assert len(sealed) == n and sealed.contains(a, b).all()
+        again = seen_keys.SealedKeys.from_bytes(sealed.to_bytes())
+        assert len(again) == n and again.contains(a, b).all() and (again.differ(b, a) == sealed.differ(b, a)).all()
     if n >= 500:
         assert sealed.nbytes < 6.5 * n + 600  # 32 bits of fingerprint, a few of index
         c, e = rng.integers(0, 2**64, 50_000, np.uint64), rng.integers(0, 2**64, 50_000, np.uint64)
@@ -61,8 +63,9 @@ def test_against_brute_force(shared):
         got = sorted((r.delivery_id, r.entry_no) for r in seen_keys.seen_entries(b, df).collect())
         assert got == brute(deliveries(), [x for x in some if x and x != "bad url"])
     assert seen_keys.seen_entries(b.limit(0), df).count() == 0
-    rate = seen_keys.error_rate(b, df, 32).first()
-    assert (rate.n_wrong, rate.rate) == (0, 0.0) and rate.n_entries == 954
+    rates = {r.bits: r for r in seen_keys.error_rate(b, df).collect()}
+    assert set(rates) == {8, 16, 32} and all(r.n_entries == 954 for r in rates.values())
+    assert (rates[32].n_wrong, rates[32].rate) == (0, 0.0) and rates[8].n_wrong >= rates[16].n_wrong >= 0
 
 
 def test_repeated_rows_are_one_entry(shared):
@@ -71,3 +74,34 @@ def test_repeated_rows_are_one_entry(shared):
     once = seen_keys.seen_entries(shared.createDataFrame(rows, BATCH), links).collect()
     twice = seen_keys.seen_entries(shared.createDataFrame(rows + rows, BATCH), links).collect()
     assert sorted(once) == sorted(twice)
+
+
+def test_ids_beyond_doubles(shared):
+    big = 2**53
+    rows = [(big + 2 * i + 1, [(f"http://s{i}.example/p", "x"), (f"http://s{i % 7}.example/p", "x")]) for i in range(20)]
+    links = shared.createDataFrame([(1, "http://s3.example/p")], LINK)
+    got = sorted((r.delivery_id, r.entry_no) for r in seen_keys.seen_entries(shared.createDataFrame(rows, BATCH), links).collect())
+    seen, want = {"http://s3.example/p"}, []
+    for d, urls in rows:
+        for k, (u, _) in enumerate(urls):
+            if u in seen:
+                want.append((d, k))
+            seen.add(u)
+    assert got == sorted(want)
+
+
+def test_a_later_batch_reads_segments_only(shared, tmp_path):
+    keys = lambda ids, first: seen_keys.hashed(shared.createDataFrame([(first + i, 0, f"key {x}") for i, x in enumerate(ids)], "delivery_id bigint, entry_no int, key string"))
+    folder = "file://" + str(tmp_path / "store")
+    store = seen_keys.SeenStore(shared, folder, 5)
+    store.seal(keys(range(0, 300), 0).select("h1", "h2"))
+    first = {r.delivery_id for r in store.admit(keys(range(200, 500), 1000)).collect()}
+    assert first == set(range(1100, 1300))
+    again = seen_keys.SeenStore(shared, folder, 5)  # as another job would, without the keys
+    second = {r.delivery_id for r in again.admit(keys([*range(400, 600), *range(550, 600)], 2000), epochs=2).collect()}
+    assert second == set(range(2100, 2200))
+    assert again.segments().agg(F.sum("n_keys")).first()[0] == 600
+    assert {r.bucket for r in again.segments().collect()} == set(range(5))
+    assert seen_keys.SeenStore(shared, folder, 5).admit(keys([], 0)).count() == 0
+    fresh = seen_keys.SeenStore(shared, "file://" + str(tmp_path / "none"), 5)
+    assert fresh.admit(keys([1, 1, 2], 0)).count() == 2
