@@ -47,3 +47,21 @@ def test_two_texts_of_one_document_are_not_joined(shared):
     docs = shared.createDataFrame([(1, " ".join(words[:12])), (1, "x " * 20 + " ".join(words[8:20]))], "doc_id bigint, text string")
     items = shared.createDataFrame([(9, " ".join(words))], "item_id bigint, text string")
     assert leakage.leaked_items(docs, items).count() == 0
+
+
+def test_items_in_several_blocks(shared):
+    docs, items = tables()
+    d, i = shared.createDataFrame(docs, "doc_id bigint, text string"), shared.createDataFrame(items, "item_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id) for r in leakage.leaked_items(d, i, block_chars=2000).collect())
+    assert got == brute(docs, items)
+
+
+def test_words_are_those_of_the_pattern():
+    texts = ["Ünïted 3rd-party x_y", "", "İstanbul ΣΊΣΥΦΟΣ end", "٣٤ ½ 日本 é", "a"]
+    words = leakage.Words(texts)
+    got = [(int(o), words.text[a:b]) for o, a, b in zip(words.owner, words.start, words.end)]
+    import regex
+
+    assert got == [(k, w) for k, t in enumerate(texts) for w in regex.findall(r"[\p{L}\p{N}]+", t.lower())]
+    same = leakage.Words(["one two three four five", "six one TWO three four five"])
+    assert same.shingle[same.whole][0] == same.shingle[same.whole][-1]
