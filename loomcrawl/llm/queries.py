@@ -10,7 +10,7 @@ from loomcrawl.sources.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return site_lines.repeated_occurrences(table(spark, d, "parsed_documents"))
+    return site_lines.repeated_occurrences(table(spark, d, "parsed_documents"), table(spark, d, "cdxj_entries"))
 
 
 def p1_clean_pages(spark: SparkSession, d: str) -> DataFrame:
