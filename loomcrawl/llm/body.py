@@ -265,12 +265,17 @@ def content_marginals(pages: list[tuple[str | None, bytes | None, str | None]],
 def page_bodies(pages: DataFrame, fetches: DataFrame) -> DataFrame:
     """(page_id, main_text, body, content_type): each page with its latest successful fetch.
 
-    Repeated rows of a page count once; a page without a fetch keeps a NULL body.
+    Repeated rows of a page, which has one url, count once; a page without a fetch keeps a
+    NULL body.
     """
-    unique = pages.where(F.col("page_id").isNotNull() & F.col("main_text").isNotNull()).select("page_id", "url", "main_text").dropDuplicates(["page_id"])
     good = fetches.where(F.col("body").isNotNull() & F.col("http_status").between(200, 299) & F.col("final_url").isNotNull())
-    latest = good.groupBy(F.col("final_url").alias("url")).agg(F.max_by(F.struct("body", "content_type"), F.struct("fetched_at", "fetch_id")).alias("f"))
-    return unique.join(latest, "url", "left").select("page_id", "main_text", "f.body", "f.content_type")
+    latest = good.groupBy(F.col("final_url").alias("at")).agg(F.max_by(F.struct("body", "content_type"), F.struct("fetched_at", "fetch_id")).alias("f"))
+    # Pages are partitioned once, by url: the collapse of repeated rows and the join share it.
+    # Pages without url are spread by their id.
+    at = F.coalesce("url", F.concat(F.lit("\0"), F.col("page_id").cast("string")))
+    whole = pages.where(F.col("page_id").isNotNull() & F.col("main_text").isNotNull()).select("page_id", at.alias("at"), "main_text")
+    unique = whole.repartition("at").dropDuplicates(["at", "page_id"])
+    return unique.join(latest, "at", "left").select("page_id", "main_text", "f.body", "f.content_type")
 
 
 def furniture_lines(pages: DataFrame, fetches: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -220,9 +220,10 @@ def mostly_residue(text: str) -> bool:
 def residue_pages(pages: DataFrame) -> DataFrame:
     """(page_id, is_residue, is_filler, is_notice) of the pages to leave out.
 
-    Repeated rows of a page count once. Pages without title and text are never among them.
+    Rows are judged where they lie and the few verdicts are collapsed: rows of one page are
+    one, flagged by any of them. Pages without title and text are never among them.
     """
-    unique = pages.where(F.col("page_id").isNotNull()).select("page_id", "title", "main_text").dropDuplicates(["page_id"])
+    rows = pages.where(F.col("page_id").isNotNull()).select("page_id", "title", "main_text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -232,7 +233,8 @@ def residue_pages(pages: DataFrame) -> DataFrame:
                 keep = found.any(axis=1)
                 yield pd.DataFrame({"page_id": part["page_id"].to_numpy(np.int64)[keep], "is_residue": found[keep, 0], "is_filler": found[keep, 1], "is_notice": found[keep, 2]})
 
-    return unique.mapInPandas(run, "page_id bigint, is_residue boolean, is_filler boolean, is_notice boolean")
+    judged = rows.mapInPandas(run, "page_id bigint, is_residue boolean, is_filler boolean, is_notice boolean")
+    return judged.groupBy("page_id").agg(*[F.bool_or(c).alias(c) for c in ("is_residue", "is_filler", "is_notice")])
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:

@@ -93,3 +93,30 @@ def test_tag_list_with_one_placeholder_is_spam(shared):
     df = shared.createDataFrame([(k, t, [("http://x.test/", a) for a in links]) for k, t, links in tags], schema)
     assert residue.judge_pages([(None, tags[-1][1])])[0][0]
     assert [r.page_id for r in stuffing.spam_pages(df).collect()] == [300]
+
+
+PLAIN = {
+    "nl": "De oude haven bij het dorp werd door zeelieden geschilderd voor de eerste vorst. Sindsdien hebben de buren veel houten plekken hersteld, en niemand heeft er een woord over gezegd.",
+    "it": "Il vecchio porto vicino al paese è stato dipinto dai marinai prima del gelo. Da allora i vicini hanno riparato molti luoghi di legno e nessuno ne ha parlato.",
+    "pt": "O velho porto perto da aldeia foi pintado pelos marinheiros antes da primeira geada. Desde então os vizinhos consertaram muitos lugares e ninguém falou mais disso.",
+    "hu": "A falu melletti régi kikötőt a tengerészek festették ki az első fagy előtt. Azóta a szomszédok sok helyet megjavítottak, és senki sem szólt róla.",
+    "short": "Closed today.",
+    "stub": "North pier lamp",
+}
+
+
+def test_prose_of_other_languages_and_short_texts_are_no_spam(shared):
+    schema = "page_id bigint, main_text string, outlinks array<struct<target_url:string,anchor_text:string>>"
+    spam = [(901, "zelt heringe, zelt heringe kaufen, zelt heringe billig, beste zelt heringe"), (902, "tenda picchetti, tenda picchetti prezzo, picchetti tenda, comprare tenda picchetti")]
+    rows = [(k, t, []) for k, t, _ in pages()[:40]] + [(500 + k, t, []) for k, t in enumerate(PLAIN.values())] + [(k, t, []) for k, t in spam]
+    got = sorted(r.page_id for r in stuffing.spam_pages(shared.createDataFrame(rows, schema)).collect())
+    assert got == [901, 902]
+    words = lambda t: [stuffing._WORD.findall(x.lower()) for x in t.split("\n")]
+    assert [stuffing.language_of(words(PLAIN[k])) for k in ("nl", "it", "pt", "hu")] == ["nl", "it", "pt", "xx"]
+    assert [stuffing.language_of(words(t)) for t in (PROSE, "Compartir esta página. No responde de los sitios")] == ["en", "es"]
+
+
+def test_linked_words():
+    links = {("north", "pegs"), ("north",), ("lamp",)}
+    assert stuffing.linked_words("see north pegs and north lamp north pegs".split(), links) == 6
+    assert stuffing.linked_words([], links) == 0
