@@ -283,7 +283,7 @@ def page_main_text(spark, d):
 
 
 _ESCAPED = r"""regexp_replace(regexp_replace(replace(replace(replace(body::VARCHAR, '\x22', '"'), '\x27', chr(39)), '\x5C', '/'), '\\x0[9A-D]', ' ', 'g'), '\\x[0-9A-F]{2}', '?', 'g')"""
-_PAGE_TEXT = f"""(SELECT fetch_id, http_status, CASE WHEN regexp_matches(coalesce(content_type, ''), '(?i)charset\\s*=\\s*["'']?(?:iso-8859-|latin-?1|windows-125|cp125|us-ascii)') THEN {_ESCAPED} ELSE decode(body) END AS page
+_PAGE_TEXT = f"""(SELECT fetch_id, http_status, CASE WHEN regexp_matches(coalesce(content_type, ''), '(?i)charset\\s*=\\s*["'']?(?:iso-8859-|latin-?1|windows-125|cp125|us-ascii)') THEN {_ESCAPED} ELSE decode(body, 'replace') END AS page
   FROM (SELECT DISTINCT ON (fetch_id) * FROM fetch_results))"""
 
 
