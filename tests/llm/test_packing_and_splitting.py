@@ -34,7 +34,8 @@ def test_plan_holds_every_item(seed):
     rng = np.random.default_rng(seed)
     counts = rng.poisson(3 if seed else 400, 101)
     counts[0] = 0
-    plan = packing.pack_histogram(counts, 100)
+    packed = packing.pack_histogram(counts, 100)
+    plan = packed.plan
     held = Counter()
     for pattern, n in plan:
         assert 0 < sum(s * k for s, k in pattern.items()) <= 100 and n > 0
@@ -42,8 +43,32 @@ def test_plan_holds_every_item(seed):
             held[s] += k * n
     assert all(held[s] == counts[s] for s in range(101))
     least = -(-int((counts * np.arange(101)).sum()) // 100)
-    assert sum(n for _, n in plan) <= max(least + 2, 1.03 * least)
-    assert packing.pack_histogram(np.zeros(101, int), 100) == []
+    assert least <= packed.bound <= packed.n_containers <= min(packed.n_best_fit, max(least + 2, 1.03 * least))
+    assert 0 <= packed.n_program <= packed.n_containers
+    assert packing.pack_histogram(np.zeros(101, int), 100).plan == []
+
+
+def long_tailed(n, seed):
+    """Token counts like those of texts: many short, few long, tails cut into full containers before."""
+    rng = np.random.default_rng(seed)
+    return np.bincount(np.minimum(2048, rng.lognormal(5.9, 0.9, n).astype(int) + 1), minlength=2049)
+
+
+@pytest.mark.parametrize("n", [100, 1000, 10_000])
+def test_program_is_no_worse_than_best_fit(n):
+    counts = long_tailed(n, n)
+    packed = packing.pack_histogram(counts, 2048)
+    assert packed.bound <= packed.n_containers <= packed.n_best_fit
+    assert packed.n_containers <= 1.001 * packed.bound + 1 and packed.n_program > 0.3 * packed.n_containers
+
+
+def test_lower_bound_holds():
+    """Prices of items over half a container show what the volume does not."""
+    counts = np.zeros(101, int)
+    counts[60], counts[70] = 50, 20
+    _, bound = packing.solve_configuration_lp(counts.astype(float), 100, 1.0)
+    packed = packing.pack_histogram(counts, 100)
+    assert 44 <= bound <= 70 and packed.n_containers == 70
 
 
 def test_pack_table(shared):
