@@ -15,10 +15,12 @@ import os
 import sys
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcrawl.functions.url import canon_host, canon_url
+from loomcrawl.operators.control import quarantined
 
 KIND = "seq bigint, occurred_at timestamp, actor string, action string, subject string, detail string"
 USAGE = 64
@@ -29,7 +31,9 @@ def control(spark: SparkSession, folder: str) -> DataFrame:
     """All control rows, an empty table before the first."""
     try:
         return spark.read.schema(KIND).parquet(folder)
-    except Exception:  # noqa: BLE001 - the folder is not there yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], KIND)
 
 
@@ -42,13 +46,6 @@ def record(spark: SparkSession, folder: str, action: str, subjects: list[str], d
     df.write.mode("append").parquet(folder)
 
 
-def quarantined(spark: SparkSession, folder: str) -> DataFrame:
-    """Hosts whose latest action is a quarantine."""
-    rows = control(spark, folder).where(F.col("action").isin("quarantine", "release"))
-    latest = rows.groupBy(F.col("subject").alias("host")).agg(F.max_by("action", "seq").alias("action"))
-    return latest.where(F.col("action") == "quarantine").select("host")
-
-
 def _valid(spark: SparkSession, values: list[str], rule) -> list[str] | None:
     rows = spark.createDataFrame([(v,) for v in values], "v string").select(rule(F.col("v")).alias("c")).collect()
     found = [r.c for r in rows]
@@ -86,7 +83,7 @@ def main(args: list[str], spark: SparkSession | None = None, out=print) -> int:
         elif command == "status" and not rest:
             last = control(spark, folder).where(F.col("action").isin("pause", "resume")).orderBy(F.desc("seq")).first()
             out("paused" if last and last.action == "pause" else "running")
-            out(f"{quarantined(spark, folder).count()} hosts in quarantine")
+            out(f"{quarantined(control(spark, folder)).count()} hosts in quarantine")
         elif command == "audit" and len(rest) <= 1:
             limit = int(rest[0]) if rest else 50
             for r in reversed(control(spark, folder).orderBy(F.desc("seq")).limit(limit).collect()):

@@ -58,7 +58,13 @@ def metric_name(name: Column) -> Column:
 
 def http_date(text: Column) -> Column:
     """time of an RFC 1123 date, NULL when it is none."""
-    return F.try_to_timestamp(F.substring(text, 6, 20), F.lit("dd MMM yyyy HH:mm:ss"))
+    inner = F.regexp_extract(text, r"^[A-Za-z]{3}, (\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
+    return F.try_to_timestamp(inner, F.lit("d MMM yyyy HH:mm:ss"))
+
+
+def format_http_date(ts: Column) -> Column:
+    """a time as an RFC 1123 date; the day of the month has no leading zero."""
+    return F.concat(F.date_format(ts, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT"))
 
 
 def is_nofollow(rel: Column) -> Column:

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from loomcrawl.functions.codec import is_success
 from loomcrawl.functions.htmlparse import parse_html
 from loomcrawl.functions.url import canon_url, present, url_parts
-from loomcrawl.operators import robots
+from loomcrawl.operators import control, robots
 from loomcrawl.session import fresh_path, materialize
 
 
 @dataclass
 class CrawlStats:
-    """Figures of a crawl; reason 0 is an empty frontier, 1 the cap, 2 the depth."""
+    """Figures of a crawl; reason 0 is an empty frontier, 1 the cap, 2 the depth, 3 a pause."""
 
     fetched: int = 0
     succeeded: int = 0
@@ -35,13 +35,15 @@ class CrawlStats:
     stop_reason: int = 0
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots_bodies: DataFrame, max_urls: int, agent: str = "loomcrawl", max_depth: int | None = None) -> tuple[CrawlStats, dict[str, DataFrame]]:
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots_bodies: DataFrame, max_urls: int, agent: str = "loomcrawl", max_depth: int | None = None, control_events: Callable[[], DataFrame] | None = None) -> tuple[CrawlStats, dict[str, DataFrame]]:
     """Crawl from ``seeds`` (url) until the frontier is empty or ``max_urls`` were fetched.
 
     ``fetch`` maps (url) to responses; ``robots_bodies`` has host and body. Gives the
     figures and the tables documents (url, doc) and links (source, target, ...). The cap
     takes the urls of a wave in the order of their text. ``max_depth`` bounds the links
-    from a seed; there is no bound by default.
+    from a seed; there is no bound by default. ``control_events`` gives the control table as
+    it is at the start of a wave: a pause ends the crawl, urls that were taken down and
+    hosts in quarantine are not fetched.
     """
     stats = CrawlStats()
     rules, agents = robots.rule_table(robots_bodies), robots.agent_table(robots_bodies)
@@ -51,15 +53,22 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots_bodi
     known = fresh_path(spark, "crawl-seen")  # every wave adds its files; none is written twice
     frontier.write.parquet(known)
     tables: dict[str, DataFrame] = {}
+    paths = {name: fresh_path(spark, f"crawl-all-{name}") for name in ("documents", "links")}  # the plan does not grow with the waves
     while not frontier.isEmpty():
         if max_depth is not None and stats.waves > max_depth:
             stats.stop_reason = 2
             break
+        events = control_events() if control_events else None
+        if events is not None and control.is_paused(events):
+            stats.stop_reason = 3
+            break
         room = max_urls - stats.fetched
         if room <= 0:
             stats.stop_reason = 1
             break
         asked = frontier.select("url", present(url_parts(F.col("url"))).alias("p")).select("url", F.col("p.host").alias("host"), F.lit(agent).alias("agent"), F.col("p.path").alias("path"))
+        if events is not None:
+            asked = control.admitted(asked, events)
         verdicts = robots.verdicts(asked, rules, agents)
         judged = materialize(asked.join(verdicts, ["host", "agent", "path"]).select("url", "verdict"), "crawl-judged")
         allowed = judged.where(F.col("verdict") == "ALLOWED").select("url")
@@ -82,7 +91,8 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots_bodi
         fresh = materialize(links.select(F.col("target").alias("url")).distinct().join(spark.read.schema("url string").parquet(known), "url", "left_anti"), "crawl-fresh")
         stats.deduplicated += found - fresh.count()
         for name, df in (("documents", documents), ("links", links)):
-            tables[name] = tables[name].unionByName(df) if name in tables else df
+            df.write.mode("append").parquet(paths[name])
+            tables[name] = spark.read.schema(df.schema).parquet(paths[name])
         fresh.write.mode("append").parquet(known)
         frontier = fresh
         stats.waves += 1

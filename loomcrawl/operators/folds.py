@@ -20,6 +20,8 @@ MIN_BACKOFF, MAX_BACKOFF, ON_ERROR, ON_SUCCESS = 1.0, 64.0, 2.0, 0.95
 DELAY_MS = 1000
 MIN_INTERVAL_MS, MAX_INTERVAL_MS, FIRST_INTERVAL_MS = 900_000, 2_592_000_000, 3_600_000
 DAY_MS = 86_400_000
+#: Changes per day of a url that was never fetched.
+FIRST_RATE = 1.0
 
 
 def stream_fold(df: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], object], step: Callable, finish: Callable | None = None) -> DataFrame:
@@ -116,7 +118,7 @@ def recrawl_state(fetches: DataFrame) -> DataFrame:
     def step(s, row):
         _, at, _, changed = row
         if s is None:
-            s = [FIRST_INTERVAL_MS, 0.0, 0, 0, 0, at, at]
+            s = [FIRST_INTERVAL_MS, FIRST_RATE, 0, 0, 0, at, at]
         s[2] += 1
         if changed:
             s[3], s[4], s[5] = s[3] + 1, 0, at
@@ -131,6 +133,19 @@ def recrawl_state(fetches: DataFrame) -> DataFrame:
     return stream_fold(fetches.select("url", "at_ms", "seq", "changed"), "url", ["at_ms", "seq"], schema, lambda: None, step, lambda url, s: (url, *s))
 
 
+def register_recrawls(state: DataFrame, urls: DataFrame, now_ms: int) -> DataFrame:
+    """M7: the state with a first entry for every url that has none; others stay."""
+    new = urls.select("url").where(F.col("url").isNotNull()).distinct().join(state.select("url"), "url", "left_anti")
+    zero = F.lit(0)
+    made = new.select("url", F.lit(FIRST_INTERVAL_MS).cast("bigint").alias("interval_ms"), F.lit(FIRST_RATE).alias("rate"), zero.alias("n_fetches"), zero.alias("n_changes"), zero.alias("n_unchanged"), F.lit(now_ms).cast("bigint").alias("last_changed_ms"), F.lit(now_ms + FIRST_INTERVAL_MS).cast("bigint").alias("next_ms"))
+    return state.select(made.columns).unionByName(made)
+
+
+def clock_peek(grants: DataFrame, delay_ms: int = DELAY_MS) -> DataFrame:
+    """(host, clock_ms): the time before which a host grants no claim, from its grants (host, at_ms, granted)."""
+    return grants.where("granted").groupBy("host").agg((F.max("at_ms") + delay_ms).cast("bigint").alias("clock_ms"))
+
+
 def due_recrawls(state: DataFrame, importance: DataFrame, now_ms: int, limit: int) -> DataFrame:
     """Overdue urls by history times log1p(rate), the url breaking ties."""
     ranked = state.where(F.col("next_ms") <= now_ms).join(importance.select("url", "history"), "url", "left")

@@ -36,6 +36,12 @@ def opic_round(state: DataFrame, visits: DataFrame, edges: DataFrame, seed_cash:
     return merged.select("url", (kept + F.coalesce("gain", F.lit(0.0))).alias("cash"), banked.alias("history"))
 
 
+def seed(state: DataFrame, urls: DataFrame, cash: float = 1.0) -> DataFrame:
+    """The state with every url that it has not yet, at ``cash``."""
+    new = urls.select("url").where(F.col("url").isNotNull()).distinct().join(state.select("url"), "url", "left_anti")
+    return state.select("url", "cash", "history").unionByName(new.select("url", F.lit(cash).alias("cash"), F.lit(0.0).alias("history")))
+
+
 def top_by_history(state: DataFrame, n: int) -> DataFrame:
     """T1."""
     return state.orderBy(F.desc("history"), F.desc("cash"), "url").limit(n)

@@ -34,6 +34,58 @@ def rule_table(bodies: DataFrame, key: str = "host", body: str = "body") -> Data
     return agents.join(rules, [key, "group_no"]).select(key, "agent", "kind", "pattern").distinct()
 
 
+def crawl_delays(bodies: DataFrame, key: str = "host", body: str = "body") -> DataFrame:
+    """(key, agent, delay_s): the delay that a file asks of each agent.
+
+    Within a group the last well-formed line counts, among groups of one agent the first
+    group that has one.
+    """
+    lines = directives(bodies, key, body).where(F.col("directive") != "sitemap")
+    w = Window.partitionBy(key).orderBy("line_no")
+    is_agent = F.col("directive") == "user-agent"
+    starts = is_agent & ~F.coalesce(F.lag("directive").over(w) == "user-agent", F.lit(False))
+    grouped = lines.withColumn("starts", starts.cast("int")).withColumn("group_no", F.sum("starts").over(w)).where(F.col("group_no") > 0)
+    seconds = F.when(F.col("value").rlike("^[+-]?[0-9]+$"), F.col("value").try_cast("bigint"))
+    asked = grouped.where((F.col("directive") == "crawl-delay") & seconds.isNotNull()).groupBy(key, "group_no").agg(F.max_by(seconds, "line_no").alias("delay_s"))
+    agents = grouped.where(is_agent).select(key, "group_no", F.lower("value").alias("agent")).distinct()
+    return agents.join(asked, [key, "group_no"]).groupBy(key, "agent").agg(F.min_by("delay_s", "group_no").alias("delay_s"))
+
+
+def sitemaps(bodies: DataFrame, key: str = "host", body: str = "body") -> DataFrame:
+    """(key, line_no, sitemap) of every sitemap line."""
+    return directives(bodies, key, body).where(F.col("directive") == "sitemap").select(key, "line_no", F.col("value").alias("sitemap"))
+
+
+def fresh(cache: DataFrame, now_ms: int) -> DataFrame:
+    """Cached answers (host, source, fetched_ms, expires_ms) that still hold; the last moment counts."""
+    return cache.where(F.col("expires_ms") >= now_ms)
+
+
+def peek(cache: DataFrame, hosts: DataFrame) -> DataFrame:
+    """M4: the cached answers of ``hosts``, fresh or not; nothing is fetched."""
+    return cache.join(hosts.select("host").distinct(), "host", "left_semi")
+
+
+def invalidate(cache: DataFrame, hosts: DataFrame) -> DataFrame:
+    """M4."""
+    return cache.join(hosts.select("host").distinct(), "host", "left_anti")
+
+
+def refresh(cache: DataFrame, responses: DataFrame, now_ms: int) -> DataFrame:
+    """The cache after answers (host, status, error) of one time.
+
+    A failed answer keeps the previous rules for an hour when they were fetched in the last
+    seven days; a stale entry keeps the time at which it was fetched.
+    """
+    old = cache.select("host", F.col("source").alias("old_source"), F.col("fetched_ms").alias("old_fetched_ms"))
+    met = responses.select("host", "status", "error").join(old, "host", "left")
+    source, ttl = cache_policy(F.col("status"), F.col("error"), F.col("old_source"), F.lit(now_ms) - F.col("old_fetched_ms"))
+    made = met.select("host", source.alias("source"), F.col("old_fetched_ms"), ttl.alias("ttl_ms"))
+    fetched = F.when(F.col("source") == "STALE_SERVE", F.col("old_fetched_ms")).otherwise(F.lit(now_ms)).cast("bigint")
+    new = made.select("host", "source", fetched.alias("fetched_ms"), (F.lit(now_ms) + F.col("ttl_ms")).cast("bigint").alias("expires_ms"))
+    return invalidate(cache, responses).select(new.columns).unionByName(new)
+
+
 def agent_table(bodies: DataFrame, key: str = "host", body: str = "body") -> DataFrame:
     """(key, agent) of every user-agent line, with or without rules."""
     return directives(bodies, key, body).where(F.col("directive") == "user-agent").select(key, F.lower("value").alias("agent")).distinct()

@@ -92,3 +92,40 @@ def evaluate_liveness(members: DataFrame, now_ms: int, suspect_ms: int = 5000, d
     other = F.col("agent_id") != F.lit(self_id) if self_id else F.lit(True)
     status = F.when(other & (F.col("status") == "ALIVE") & (age > suspect_ms), "SUSPECT").when(other & (F.col("status") == "SUSPECT") & (age > dead_ms), "DEAD").otherwise(F.col("status"))
     return members.withColumn("new_status", status).select(*[c for c in members.columns if c not in ("status", "heartbeat_ms")], F.col("new_status").alias("status"), F.when(F.col("new_status") != F.col("status"), F.lit(now_ms)).otherwise(F.col("heartbeat_ms")).alias("heartbeat_ms"))
+
+
+def with_status(members: DataFrame, status: str) -> DataFrame:
+    """P9."""
+    return members.where(F.col("status") == status)
+
+
+def heartbeat(members: DataFrame, agent_id: str, now_ms: int) -> DataFrame:
+    """The agent's own row with a new heartbeat; others as they are."""
+    return members.withColumn("heartbeat_ms", F.when(F.col("agent_id") == agent_id, F.lit(now_ms)).otherwise(F.col("heartbeat_ms")).cast("bigint"))
+
+
+def anchor_get(anchor: DataFrame, agent_id: str) -> DataFrame:
+    """M11; the anchor is a members table that :func:`merge_members` puts into."""
+    return anchor.where(F.col("agent_id") == agent_id)
+
+
+def anchor_remove(anchor: DataFrame, agents: list[str]) -> DataFrame:
+    """M11."""
+    return anchor.where(~F.col("agent_id").isin(*agents)) if agents else anchor
+
+
+def remove_policies(policies: DataFrame, hosts: list[str]) -> DataFrame:
+    """M8: the hot-host policies without those of ``hosts``."""
+    return policies.where(~F.coalesce(canon_host(F.col("host")).isin(*hosts), F.lit(False))) if hosts else policies
+
+
+def inbox(batches: DataFrame) -> DataFrame:
+    """What waits for each target: (target_agent, n_messages, n_urls)."""
+    waiting = batches.where(F.col("target_agent").isNotNull())
+    return waiting.groupBy("target_agent").agg(F.count("*").alias("n_messages"), F.sum(F.greatest(F.size("urls"), F.lit(0))).alias("n_urls"))
+
+
+def drain(batches: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    """(a target's messages, what is left)."""
+    own = F.coalesce(F.col("target_agent") == target, F.lit(False))
+    return batches.where(own), batches.where(~own)

@@ -421,7 +421,7 @@ def host_backoff(spark, d):
 
 
 _RECRAWL = f"""(SELECT url, s.i AS interval_ms, round(s.r, 9) AS rate, s.n AS n_fetches, s.c AS n_changes, s.u AS n_unchanged, s.lc AS last_changed_ms, s.t + s.i AS next_ms FROM (SELECT url, list_reduce(
-  list_prepend({{'i': 3600000::BIGINT, 'r': 0.0::DOUBLE, 'n': 0, 'c': 0, 'u': 0, 'lc': min(at_ms), 't': 0::BIGINT, 'ch': false}}, list({{'i': 0::BIGINT, 'r': 0.0::DOUBLE, 'n': 0, 'c': 0, 'u': 0, 'lc': 0::BIGINT, 't': at_ms, 'ch': changed}} ORDER BY at_ms, fetch_id)),
+  list_prepend({{'i': 3600000::BIGINT, 'r': 1.0::DOUBLE, 'n': 0, 'c': 0, 'u': 0, 'lc': min(at_ms), 't': 0::BIGINT, 'ch': false}}, list({{'i': 0::BIGINT, 'r': 0.0::DOUBLE, 'n': 0, 'c': 0, 'u': 0, 'lc': 0::BIGINT, 't': at_ms, 'ch': changed}} ORDER BY at_ms, fetch_id)),
   lambda a, b: {{'i': CASE WHEN b.ch THEN greatest(900000, a.i // 2) ELSE least(2592000000, a.i * 2) END,
   'r': 0.7 * a.r + 0.3 * ((a.c + CASE WHEN b.ch THEN 1 ELSE 0 END) / greatest(1.0, abs(b.t - CASE WHEN b.ch THEN b.t ELSE a.lc END) / 86400000.0::DOUBLE)),
   'n': a.n + 1, 'c': a.c + CASE WHEN b.ch THEN 1 ELSE 0 END, 'u': CASE WHEN b.ch THEN 0 ELSE a.u + 1 END, 'lc': CASE WHEN b.ch THEN b.t ELSE a.lc END, 't': b.t, 'ch': false}}) AS s

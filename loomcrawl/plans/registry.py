@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomcrawl.plans import core_problems, core_queries
+from loomcrawl.plans import core_problems, core_queries, state_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,14 +21,14 @@ def _llm():
 
 
 def all_queries() -> dict[str, Query]:
-    found = core_problems.QUERIES | core_queries.QUERIES
+    found = core_problems.QUERIES | core_queries.QUERIES | state_queries.QUERIES
     if llm := _llm():
         found |= llm.QUERIES
     return found
 
 
 def all_sql() -> dict[str, str]:
-    found = core_problems.SQL | core_queries.SQL
+    found = core_problems.SQL | core_queries.SQL | state_queries.SQL
     if llm := _llm():
         found |= llm.SQL
     return found

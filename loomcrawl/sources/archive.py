@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,3 +102,40 @@ def resolve_redirects(start: DataFrame, edges: DataFrame, limit: int = 5) -> Dat
             "url", F.coalesce("target", "final_url").alias("final_url"), (F.col("hops") + F.col("target").isNotNull().cast("int")).alias("hops"), F.col("target").isNotNull().alias("open")
         )
     return state.select("url", F.when(F.col("hops") <= limit, F.col("final_url")).alias("final_url"), F.least("hops", F.lit(limit + 1)).alias("hops"))
+
+
+def write_warc_files(records: DataFrame, path: str, prefix: str, stamp: str, max_bytes: int = 1 << 30) -> DataFrame:
+    """Write records (part, seq, record) to rolling files; gives (file, n_records, n_bytes).
+
+    A file is ``<prefix>-<stamp>-<part>-<5 digits>.warc``, numbered from 1 in each part. One
+    task streams through a part in order of seq, holding one record. A file is written
+    under another name and renamed when it is whole, so a task that is run again leaves no
+    half file and none twice. ``path`` is any folder that Arrow's file systems know.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = pafs.FileSystem.from_uri(path)
+        system.create_dir(root)
+        out, name, stream, rows, size, part, number = [], None, None, 0, 0, None, 0
+        mine = f".{uuid.uuid4().hex}.tmp"
+
+        def close():
+            if stream is not None:
+                stream.close()
+                system.move(f"{root}/{name}{mine}", f"{root}/{name}")
+                out.append((name, rows, size))
+
+        for frame in frames:
+            for p, record in zip(frame["part"], frame["record"]):
+                if p != part or size + len(record) > max_bytes:
+                    close()
+                    number = number + 1 if p == part else 1
+                    part, name, rows, size = p, f"{prefix}-{stamp}-{p}-{number:05d}.warc", 0, 0
+                    stream = system.open_output_stream(f"{root}/{name}{mine}")
+                stream.write(bytes(record))
+                rows, size = rows + 1, size + len(record)
+        close()
+        yield pd.DataFrame(out, columns=["file", "n_records", "n_bytes"])
+
+    ordered = records.select("part", "seq", "record").where(F.col("part").isNotNull() & F.col("record").isNotNull())
+    return ordered.repartition("part").sortWithinPartitions("part", "seq").mapInPandas(run, "file string, n_records bigint, n_bytes bigint")

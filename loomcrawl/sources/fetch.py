@@ -6,6 +6,7 @@ requests of one batch go through one worker. The offline form joins a table of p
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ class FetchSettings:
     max_redirects: int = 5
     max_body_bytes: int = 10 * 1024 * 1024
     user_agent: str = "loomcrawl/0.1"
+    contact: str | None = None
 
 
 def fetch_with(urls: DataFrame, fetcher: Callable[[str, FetchSettings], dict], settings: FetchSettings = FetchSettings()) -> DataFrame:
@@ -49,6 +51,47 @@ def fetch_with(urls: DataFrame, fetcher: Callable[[str, FetchSettings], dict], s
     return with_outcome(urls.select("url").mapInPandas(run, RESPONSE), settings)
 
 
+def http_fetcher(url: str, settings: FetchSettings, etag: str | None = None, last_modified: str | None = None) -> dict:
+    """One GET over the network, redirects followed here so that each hop is counted.
+
+    ``etag`` and ``last_modified`` make it conditional. More hops than allowed are an
+    unfinished redirect of status 0; a redirect without a usable target is a plain answer.
+    """
+    import http.client
+    from urllib.parse import urljoin, urlsplit
+
+    headers = {"User-Agent": settings.user_agent, "Accept-Encoding": "identity"}
+    if settings.contact:
+        headers["From"] = settings.contact
+    if etag:
+        headers["If-None-Match"] = etag
+    if last_modified:
+        headers["If-Modified-Since"] = last_modified
+    began, at = time.monotonic(), url
+    for hop in range(settings.max_redirects + 1):
+        parts = urlsplit(at)
+        kind = http.client.HTTPSConnection if parts.scheme == "https" else http.client.HTTPConnection
+        connection = kind(parts.netloc, timeout=settings.connect_timeout_s)
+        try:
+            connection.connect()
+            connection.sock.settimeout(settings.read_timeout_s)
+            connection.request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), headers=headers)
+            answer = connection.getresponse()
+            target = answer.getheader("Location")
+            moved = urljoin(at, target) if answer.status in (301, 302, 303, 307, 308) and target else ""
+            if not moved.startswith(("http://", "https://")):
+                body = bytearray()
+                while len(body) < settings.max_body_bytes and (part := answer.read(65_536)):
+                    body += part
+                    if time.monotonic() - began > settings.total_timeout_s:
+                        raise TimeoutError("timed out: total time")
+                return {"final_url": at, "http_status": answer.status, "body": bytes(body[: settings.max_body_bytes]), "content_type": answer.getheader("Content-Type"), "redirect_hop_count": hop}
+            at = moved
+        finally:
+            connection.close()
+    return {"final_url": at, "http_status": 0, "redirect_hop_count": settings.max_redirects + 1}
+
+
 def fetch_from(urls: DataFrame, pages: DataFrame, settings: FetchSettings = FetchSettings()) -> DataFrame:
     """Offline form of S1: responses from a table (url, body, content_type); other urls are 404."""
     met = urls.select("url").join(pages.select("url", "body", "content_type"), "url", "left")
@@ -73,3 +116,13 @@ def needs_render(responses: DataFrame, renderer: Callable[[DataFrame], DataFrame
     """Send the responses with a render reason through ``renderer``; others pass."""
     chosen = responses.where(F.col("reason").isNotNull())
     return responses.where(F.col("reason").isNull()).unionByName(renderer(chosen))
+
+
+def as_rendered(responses: DataFrame) -> DataFrame:
+    """A renderer that gives every page back as it is, for tests and dry runs."""
+    return responses.select("*")
+
+
+def render_counts(responses: DataFrame) -> DataFrame:
+    """(reason, n): what a renderer would be given."""
+    return responses.where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count("*").alias("n"))

@@ -125,8 +125,24 @@ def test_commands(spark, tmp_path):
     assert call("seed", "HTTP://a.test", "http://b.test/x") == 0
     assert call("seed", "nonsense") == 64 and call("seed") == 64 and call("unknown") == 64
     assert call("quarantine", "A.test.") == 0 and call("quarantine", "b.test") == 0 and call("release", "b.test") == 0
-    assert [r.host for r in cli.quarantined(spark, str(tmp_path / "control")).collect()] == ["a.test"]
+    assert [r.host for r in cli.quarantined(cli.control(spark, str(tmp_path / "control"))).collect()] == ["a.test"]
     assert call("pause") == 0 and call("status") == 0 and said[-2:] == ["paused", "1 hosts in quarantine"]
     said.clear()
     assert call("audit", "2") == 0 and len(said) == 2 and said[-1].endswith("pause crawl")
     assert call("help") == 0 and cli.main([], spark, said.append) == 64
+
+
+def test_crawl_obeys_control_events(spark):
+    kind = "seq bigint, occurred_at timestamp, actor string, action string, subject string, detail string"
+    robots = spark.createDataFrame([("site.test", "")], "host string, body string")
+    seeds = spark.createDataFrame([("http://site.test/",)], "url string")
+
+    def fetched(*rows):
+        events = spark.createDataFrame([(k, None, "me", a, s, None) for k, (a, s) in enumerate(rows)], kind)
+        stats, _ = crawl.crawl(seeds, lambda urls: fetch.fetch_from(urls, pages(spark)), robots, 100, control_events=lambda: events)
+        return stats.fetched, stats.stop_reason
+
+    assert fetched() == (5, 0)
+    assert fetched(("takedown", "http://site.test/a")) == (4, 0)
+    assert fetched(("quarantine", "site.test")) == (0, 0)
+    assert fetched(("quarantine", "site.test"), ("release", "site.test"), ("pause", "crawl")) == (0, 3)

@@ -2,10 +2,10 @@ from __future__ import annotations
 
 import pytest
 
-from loomcrawl.plans import core_problems, core_queries
+from loomcrawl.plans import core_problems, core_queries, state_queries
 
-QUERIES = core_problems.QUERIES | core_queries.QUERIES
-SQL = core_problems.SQL | core_queries.SQL
+QUERIES = core_problems.QUERIES | core_queries.QUERIES | state_queries.QUERIES
+SQL = core_problems.SQL | core_queries.SQL | state_queries.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
