@@ -32,7 +32,7 @@ LINE_NATS = np.array([0.25, 0.5, 0.25])
 COVERAGE = 0.6
 #: What a template leaves in the middle of a sentence, where the mean of a line hides it.
 MARK = re.compile(
-    r"\{\{[^{}]{0,80}\}\}|[$#]\{[^{}]{1,80}\}|%%\s?[\w.]{1,60}\s?%%|<%=?[^<>%]{1,80}%>|@@\s?[\w.]{1,60}\s?@@|\[\[\s?[a-z][a-z0-9_.]*\s?\]\]|\{[a-z][a-z0-9]*(?:[_.][a-z0-9]+)*\}"
+    r"\{\{[^{}]{0,80}\}\}|\{%[^{}%]{1,80}%\}|~~\s?[A-Z_]{2,40}\s?~~|\b__[A-Z][A-Z_]{1,40}__\b|[$#]\{[^{}]{1,80}\}|%%\s?[\w.]{1,60}\s?%%|<%=?[^<>%]{1,80}%>|@@\s?[\w.]{1,60}\s?@@|\[\[\s?[a-z][a-z0-9_.]*\s?\]\]|\{[a-z][a-z0-9]*(?:[_.][a-z0-9]+)*\}"
     r"|[\[<](?:INSERT|ADD|YOUR|Insert|Your)\b[^\[\]<>]{0,80}[\]>]|\[(?:[A-Z]+ )*(?:NAME|NUMBER|ADDRESS|CITY|TOWN|STREET|PHONE|DATE|EMAIL|TITLE|TEXT|DESCRIPTION|LINK|IMAGE)(?: [A-Z0-9]+)*\]"
     r"|\[object Object\]|\bInvalid Date\b"
     r"|\b(?:[Bb]y|[Ff]or|[Ff]rom|[Hh]ello|[Dd]ear|[Ww]elcome) (?:undefined|NaN|null)\b(?! (?:and void|values?|hypothes[ie]s|pointers?|variables?|objects?|results?))"
@@ -195,7 +195,8 @@ def judge_pages(pages: list[tuple[str | None, str | None]]) -> list[tuple[bool,
         for i in at:
             if kind[i] == 0 or (lines[i] in titles and not hit[i].any()):
                 continue
-            bad = hit[i].any()
+            # Beside a clear line, a line counts as soon as it is likelier filler or notice than prose.
+            bad = hit[i].any() or (rate[i, 1:].max() > 0 and hit[at, 1:].any())
             if not bad and model.line_content(lines[i]) < 0:
                 continue
             own += len(lines[i])
