@@ -209,10 +209,14 @@ def judge_pages(pages: list[tuple[str | None, str | None]]) -> list[tuple[bool,
 
 
 def mostly_residue(text: str) -> bool:
-    """Whether lines left by a template are more than half of a text without furniture."""
+    """Whether lines left by a template are more than half of a text without furniture.
+
+    Beside a clear one, a line counts as soon as it is likelier residue than prose.
+    """
     lines = [x for x in map(body.squeeze, text.split("\n")) if x]
     window, rate = score_lines(lines)
-    left = _hits(lines, window, rate)[:, 0] & (rate.argmax(axis=1) == 0) if lines else []
+    clear = _hits(lines, window, rate)[:, 0] & (rate.argmax(axis=1) == 0) if lines else np.zeros(0, bool)
+    left = clear | (clear.any() & (rate[:, 0] > 0))
     model = body.weights()
     own = sum(len(x) for x, bad in zip(lines, left) if bad or model.line_content(x) >= 0)
     return 2 * sum(len(x) for x, bad in zip(lines, left) if bad) > own
