@@ -1,7 +1,7 @@
 """Exactly one copy of each message that was delivered at least once (problem 6).
 
 A stateful stream decides on arrival. For every identifier the keyed state store holds
-the delivery that was kept and its event time; a delivery of an identifier in the store
+the delivery that was kept and when it expires; a delivery of an identifier in the store
 is a copy, the first delivery of any other identifier is kept and put out at once. When
 the event-time watermark has passed an identifier by ``delay`` it is expired. An
 arrival behind the watermark whose identifier is not in the store may be a copy of an
@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - pa.compute
@@ -61,7 +62,12 @@ def parquet_stream(spark: SparkSession, source: str, schema: T.StructType, files
 
 
 #: Key of the rows that only move the watermark; no message is empty.
-_TICK = ""
+_TICK, _TICK_BUCKET = "", -1
+STATE = "h1 array<bigint>, h2 array<bigint>, kept array<bigint>, expires array<bigint>"
+#: Buckets of the state. A bucket holds the 128-bit hashes of its live identifiers; some
+#: hundreds to thousands of them are met with a batch in one vectorised step. Fixed for
+#: the life of a folder; a larger stream is given more.
+BUCKETS = 512
 _ROW = "message string, sent_ms bigint, delivery_id bigint, clock timestamp"
 
 
@@ -84,29 +90,39 @@ def _first_of_batch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _answer(delay_ms: int):
+    """Answers of one bucket: its live identifiers are columns of the state, met with those of the batch at once."""
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now = state.getCurrentWatermarkMs()
+        old = pd.DataFrame(dict(zip(("h1", "h2", "kept", "expires"), state.get)) if state.exists else {"h1": [], "h2": [], "kept": [], "expires": []}, dtype="int64")
+        old = old[old["expires"] > now].reset_index(drop=True)
+        new = old.iloc[:0]
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames), ignore_index=True)
+            if key[0] == _TICK_BUCKET:
+                return
+            rows = rows.sort_values("delivery_id", kind="stable").drop_duplicates(["h1", "h2"])
+            known = rows.merge(old.reset_index()[["h1", "h2", "index"]], on=["h1", "h2"], how="left")["index"]
+            at = known.fillna(-1).astype("int64").to_numpy()
+            ids, message, sent = rows["delivery_id"].to_numpy("int64"), rows["message"].to_numpy(), rows["sent_ms"].astype("Float64")
+            kept = old["kept"].to_numpy().copy()
+            # Files came out of order: the smaller delivery takes the place of the other.
+            less = np.flatnonzero((at >= 0) & (ids < np.where(at >= 0, kept[at] if len(kept) else 0, 0)))
+            fresh = np.flatnonzero(at < 0)
+            late = fresh[((sent.isna()) | (sent < now)).fillna(True).to_numpy(bool)[fresh]]
+            first = np.setdiff1d(fresh, late)
+            parts = [(less, "kept", ids[less]), (less, "withdrawn", kept[at[less]]), (late, "late", ids[late]), (first, "kept", ids[first])]
+            kept[at[less]] = ids[less]
+            old["kept"] = kept
+            some = rows.iloc[first]
+            new = pd.DataFrame({"h1": some["h1"].to_numpy("int64"), "h2": some["h2"].to_numpy("int64"), "kept": ids[first], "expires": sent.iloc[first].to_numpy("int64") + delay_ms})
+            yield pd.DataFrame({"message": np.concatenate([message[k] for k, _, _ in parts]), "verdict": np.concatenate([[v] * len(k) for k, v, _ in parts]), "delivery_id": np.concatenate([x for _, _, x in parts])})
+        live = pd.concat([old, new], ignore_index=True)
+        if len(live):
+            state.update(tuple(live[c].tolist() for c in ("h1", "h2", "kept", "expires")))
+            state.setTimeoutTimestamp(int(live["expires"].min()))
+        elif state.exists:
             state.remove()
-            return
-        least, sent = None, None
-        for frame in frames:
-            one = int(frame["delivery_id"].min())
-            least = one if least is None else min(least, one)
-            sent = frame["sent_ms"].iloc[0]
-        if key[0] == _TICK:
-            return
-        if state.exists:
-            (kept,) = state.get
-            if least < kept:  # files came out of order: the smaller delivery takes the place of the other
-                state.update((least,))
-                yield pd.DataFrame({"message": [key[0]] * 2, "verdict": ["kept", "withdrawn"], "delivery_id": [least, kept]})
-            return
-        if pd.isna(sent) or sent < state.getCurrentWatermarkMs():
-            yield pd.DataFrame({"message": [key[0]], "verdict": ["late"], "delivery_id": [least]})
-            return
-        state.update((least,))
-        state.setTimeoutTimestamp(int(sent) + delay_ms)
-        yield pd.DataFrame({"message": [key[0]], "verdict": ["kept"], "delivery_id": [least]})
 
     return run
 
@@ -123,6 +139,7 @@ class DeliveryLog:
     folder: str
     delay_ms: int = DELAY_MS
     files_per_trigger: int = 8
+    buckets: int = BUCKETS
 
     def receive(self, source: str) -> DeliveryLog:
         """Take in all files of ``source`` that no earlier call has read, and stop.
@@ -133,7 +150,10 @@ class DeliveryLog:
         arrivals = parquet_stream(self.spark, source, BATCH_SCHEMA, self.files_per_trigger).where(F.col("delivery_id").isNotNull()).select(*message_columns(), "delivery_id")
         slim = arrivals.select("message", F.unix_millis("sent_at").alias("sent_ms"), "delivery_id")
         fewer = slim.mapInArrow(_first_of_batch, _ROW).withWatermark("clock", f"{self.delay_ms} milliseconds")
-        answers = fewer.groupBy("message").applyInPandasWithState(_answer(self.delay_ms), ANSWERS, "kept bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        h1, h2 = F.xxhash64("message"), F.xxhash64(F.lit("message"), "message")
+        bucket = F.when(F.col("message") == _TICK, _TICK_BUCKET).otherwise(F.pmod(h1, F.lit(self.buckets))).cast("int")
+        keyed = fewer.select(bucket.alias("bucket"), "message", h1.alias("h1"), h2.alias("h2"), "sent_ms", "delivery_id", "clock")
+        answers = keyed.groupBy("bucket").applyInPandasWithState(_answer(self.delay_ms), ANSWERS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
         query = answers.writeStream.format("parquet").outputMode("append").option("path", f"{self.folder}/answers").option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
         return self
