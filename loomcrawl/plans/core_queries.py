@@ -570,8 +570,8 @@ def ring_owner(spark, d):
 
 @query(
     "ring_owners3",
-    f"""WITH r AS {_ring(AGENTS)}, k AS (SELECT host, {signed('h')} AS k FROM {mixed(_HOSTS, 'host', 'host')}), n AS (SELECT host, agent, min(CASE WHEN position >= k THEN 0 ELSE 1 END * 100000::BIGINT + place) AS at
-  FROM k, (SELECT *, row_number() OVER (ORDER BY position) AS place FROM r) GROUP BY host, agent) SELECT host, list(agent ORDER BY at)[1:3] AS agents FROM n GROUP BY host""",
+    f"""WITH r AS {_ring(AGENTS)}, k AS (SELECT host, {signed('h')} AS k FROM {mixed(_HOSTS, 'host', 'host')}), n AS (SELECT host, agent, min(CASE WHEN position >= k THEN 0 ELSE 1 END * 100000::BIGINT + place) AS nth
+  FROM k, (SELECT *, row_number() OVER (ORDER BY position) AS place FROM r) GROUP BY host, agent) SELECT host, list(agent ORDER BY nth)[1:3] AS agents FROM n GROUP BY host""",
 )
 def ring_owners3(spark, d):
     return hosts(spark, d).select("host", routing.ring_owners(F.col("host"), AGENTS, VNODES, 3).alias("agents"))

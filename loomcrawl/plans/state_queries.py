@@ -199,18 +199,29 @@ def politeness_clock(spark, d):
 _ROBOTS = core._ROBOTS
 
 
+#: The files of the tables ask for no delay and name no map; each gets a group and a map of its own at the end.
+_TAIL = "chr(10) || 'User-agent: DelayBot' || chr(10) || 'Crawl-delay: ' || (doc_id % 7) || chr(10) || 'Crawl-delay: none' || chr(10) || 'Sitemap: http://maps.test/' || doc_id"
+_ASKING = _ROBOTS.replace("SELECT doc_id, text FROM documents", f"SELECT doc_id, text || {_TAIL} AS text FROM documents")
+
+
+def _asking(spark, d) -> DataFrame:
+    number = F.col("doc_id").cast("string")
+    tail = F.concat(F.lit("\nUser-agent: DelayBot\nCrawl-delay: "), (F.col("doc_id") % 7).cast("string"), F.lit("\nCrawl-delay: none\nSitemap: http://maps.test/"), number)
+    return core._robots(spark, d).select("doc_id", F.concat("text", tail).alias("text"))
+
+
 @query(
     "robots_crawl_delays",
-    f"""WITH {_ROBOTS}, s AS (SELECT doc_id, g, arg_max(try_cast(value AS BIGINT), line_no) AS delay_s FROM g WHERE directive = 'crawl-delay' AND g > 0 AND regexp_full_match(value, '[+-]?[0-9]+') GROUP BY doc_id, g)
+    f"""WITH {_ASKING}, s AS (SELECT doc_id, g, arg_max(try_cast(value AS BIGINT), line_no) AS delay_s FROM g WHERE directive = 'crawl-delay' AND g > 0 AND regexp_full_match(value, '[+-]?[0-9]+') GROUP BY doc_id, g)
 SELECT doc_id, agent, arg_min(delay_s, g) AS delay_s FROM a JOIN s USING (doc_id, g) GROUP BY doc_id, agent""",
 )
 def robots_crawl_delays(spark, d):
-    return robots.crawl_delays(core._robots(spark, d), "doc_id", "text")
+    return robots.crawl_delays(_asking(spark, d), "doc_id", "text")
 
 
-@query("robots_sitemaps", f"WITH {_ROBOTS} SELECT doc_id, line_no::INTEGER AS line_no, value AS sitemap FROM d WHERE directive = 'sitemap'")
+@query("robots_sitemaps", f"WITH {_ASKING} SELECT doc_id, line_no::INTEGER AS line_no, value AS sitemap FROM d WHERE directive = 'sitemap'")
 def robots_sitemaps(spark, d):
-    return robots.sitemaps(core._robots(spark, d), "doc_id", "text")
+    return robots.sitemaps(_asking(spark, d), "doc_id", "text")
 
 
 def _robots_state(spark, d) -> tuple[DataFrame, DataFrame]:
