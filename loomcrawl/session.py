@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -37,8 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
         context = spark.sparkContext
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = context._conf.get("spark.loomcrawl.tmp", None) or "file://" + tempfile.mkdtemp(prefix="loomcrawl-")
-        context._conf.set("spark.loomcrawl.tmp", folder)
+        folder = context._conf.get("spark.loomcrawl.tmp", None)
+        if not folder:
+            made = tempfile.mkdtemp(prefix="loomcrawl-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            folder = "file://" + made
+            context._conf.set("spark.loomcrawl.tmp", folder)
     return folder.rstrip("/")
 
 
