@@ -116,6 +116,36 @@ def test_near_pairs_against_all_pairs(spark):
         assert got == want
 
 
+def _limited_broadcast(spark, tmp_path, search):
+    """Rows of a search over 20,000 fingerprints in a file, while no broadcast may be over 1 MB."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(63) for _ in range(10_000)]
+    path = str(tmp_path / "fps")
+    spark.createDataFrame([(v,) for b in base for v in (b, b ^ 1 ^ 1 << rng.randrange(1, 62))], "fp bigint").write.parquet(path)
+    name = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1MB")
+    try:
+        return base, search(spark.read.parquet(path)).collect()
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_near_pairs_within_seven_bits_broadcast_nothing_exploded(spark, tmp_path):
+    base, rows = _limited_broadcast(spark, tmp_path, lambda fps: simhash.near_pairs(fps, 7, 10))
+    near = {x for r in rows if r.distance == 2 for x in (r.fp_a, r.fp_b)}
+    assert near >= set(base) and len(rows) == len({(r.fp_a, r.fp_b) for r in rows})
+
+
+def test_near_pairs_of_groups_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 20)
+    rng = random.Random(7)
+    fps = sorted({rng.getrandbits(10) << 50 | rng.getrandbits(6) for _ in range(300)})
+    rows = simhash.near_pairs(spark.createDataFrame([(v,) for v in fps], "fp bigint"), 3).collect()
+    want = [(a, b, (a ^ b).bit_count()) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 3]
+    assert sorted(tuple(r) for r in rows) == want
+
+
 def test_lane_candidates(spark):
     df = spark.createDataFrame([(0xFFFF,), (0xFFFF0000,), (0xFFFFFFFF,)], "fp bigint")
     got = {r.candidate for r in simhash.lane_candidates(df.where(F.col("fp") == 0xFFFFFFFF), df).collect()}
