@@ -209,7 +209,8 @@ def near_pairs(fingerprints: DataFrame, k: int = 3, blocks: int | None = None) -
 def nearest(fingerprints: DataFrame, k: int = 3, blocks: int | None = None) -> DataFrame:
     """(fp, nearest, distance) of every fingerprint that has another within k bits; ties go to the smaller."""
     pairs = near_pairs(fingerprints, k, blocks)
-    both = pairs.select(F.col("fp_a").alias("fp"), F.col("fp_b").alias("other"), "distance").unionByName(pairs.select(F.col("fp_b").alias("fp"), F.col("fp_a").alias("other"), "distance"))
+    ways = F.array(F.struct(F.col("fp_a").alias("fp"), F.col("fp_b").alias("other")), F.struct(F.col("fp_b").alias("fp"), F.col("fp_a").alias("other")))
+    both = pairs.select(F.explode(ways).alias("way"), "distance").select("way.*", "distance")  # a union would search twice
     return both.groupBy("fp").agg(F.min(F.struct("distance", "other")).alias("m")).select("fp", F.col("m.other").alias("nearest"), F.col("m.distance").alias("distance"))
 
 

@@ -137,6 +137,13 @@ def test_near_pairs_within_seven_bits_broadcast_nothing_exploded(spark, tmp_path
     assert near >= set(base) and len(rows) == len({(r.fp_a, r.fp_b) for r in rows})
 
 
+def test_nearest_broadcasts_nothing_exploded_and_searches_once(spark, tmp_path):
+    found = []
+    base, rows = _limited_broadcast(spark, tmp_path, lambda fps: found.append(simhash.nearest(fps, 7, 10)) or found[0])
+    assert {r.fp for r in rows} >= set(base) and len(rows) == len({r.fp for r in rows})
+    assert found[0]._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_near_pairs_of_groups_in_slices(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 20)
     rng = random.Random(7)
