@@ -131,6 +131,11 @@ def _limited_broadcast(spark, tmp_path, search):
         spark.conf.set(name, before)
 
 
+def test_near_pairs_within_three_bits_broadcast_nothing_exploded(spark, tmp_path):
+    base, rows = _limited_broadcast(spark, tmp_path, lambda fps: simhash.near_pairs(fps, 3))
+    assert {x for r in rows for x in (r.fp_a, r.fp_b)} >= set(base) and len(rows) == len({(r.fp_a, r.fp_b) for r in rows})
+
+
 def test_near_pairs_within_seven_bits_broadcast_nothing_exploded(spark, tmp_path):
     base, rows = _limited_broadcast(spark, tmp_path, lambda fps: simhash.near_pairs(fps, 7, 10))
     near = {x for r in rows if r.distance == 2 for x in (r.fp_a, r.fp_b)}
